@@ -8,8 +8,8 @@ sets of their five-word shingles.  Steps, each over all documents:
 2. Points that may link share a token among the first n - ceil(0.75 n) + 1 of
    their sets, in an order by load of the token's group, rare ones first.  These
    tokens are packed by bucket, and tokens with one point only are dropped.
-3. In each token's block every point is paired with the block's least point.
-   Pairs whose summed coordinate minima of count vectors allow the overlap are
+3. In each token's block, and range of sizes, every point is paired with the
+   least one.  Pairs whose summed coordinate minima of count vectors allow the overlap are
    verified on the sets, and links are merged into families.
 4. Families are the nodes of an R-tree over count vectors: a node keeps its
    coordinates' maxima and least and greatest set sizes.  In each block that
@@ -27,7 +27,8 @@ bounded size, so none is collected in one task.
 Defined cases: null or empty texts and texts without words have no shingle and
 their own doc_id as component; repeated rows each count, a null doc_id takes the
 component of its equals or stays null; an empty table gives an empty result.
-Fingerprints and tokens have 64 bits.
+Fingerprints and tokens
+have 64 bits; sets of two documents are compared by 48 of them.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, load: np.ndarray, buckets: int, hot: int) -> DataFrame:
-    """tok, fp: prefix tokens that more than one point has (or that are heavy)."""
+    """tok, fp, n: prefix tokens that points of like sizes share (or heavy ones)."""
     shared = docs.sparkSession.sparkContext.broadcast(load)  # LOADS numbers
     salts = np.maximum(1, -(-load // hot)).astype(np.int64)
 
@@ -84,7 +85,7 @@ def _blocks(docs: DataFrame, load: np.ndarray, buckets: int, hot: int) -> DataFr
         weight, seen = shared.value, set()
         for whole in batches:
             for at in range(0, whole.num_rows, 2500):
-                toks, owners = [], []
+                toks, owners, sizes = [], [], []
                 for x in text_bytes(whole.slice(at, 2500).column("text")):
                     t = shingle_set(x)
                     if not len(t) or (fp := fingerprint(t)) in seen:
@@ -95,33 +96,34 @@ def _blocks(docs: DataFrame, load: np.ndarray, buckets: int, hot: int) -> DataFr
                     first = np.argsort(weight[(t >> np.uint64(48)).astype(np.int64)], kind="stable")[: prefix_size(len(t))]
                     toks.append(t[first])
                     owners.append(np.full(len(first), fp, np.int64))
+                    sizes.append(np.full(len(first), len(t), np.int32))
                 if not toks:
                     continue
-                tok, fp = np.concatenate(toks), np.concatenate(owners)
+                tok, fp, n = np.concatenate(toks), np.concatenate(owners), np.concatenate(sizes)
                 group = (tok >> np.uint64(48)).astype(np.int64)
                 salt = np.where(salts[group] > 1, fp.view(np.uint64) % salts[group].astype(np.uint64), 0).astype(np.int64)
                 bucket = (tok >> np.uint64(16)).astype(np.int64) % buckets
                 order = np.lexsort((salt, bucket))
-                tok, fp, key = tok[order], fp[order], (bucket * (1 << 20) + salt)[order]
+                tok, fp, n, key = tok[order], fp[order], n[order], (bucket * (1 << 20) + salt)[order]
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-                rows = [(key[i], tok[i:j].tobytes(), fp[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["key", "toks", "fps"])
+                rows = [(key[i], tok[i:j].tobytes(), fp[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *[pa.array([r[c] for r in rows], pa.binary()) for c in (2, 3)]], ["key", "toks", "fps", "ns"])
 
     def shared_tokens(table: pa.Table) -> pa.Table:
         tok = np.frombuffer(b"".join(table["toks"].to_pylist()), np.uint64)
         fp = np.frombuffer(b"".join(table["fps"].to_pylist()), np.int64)
-        order = np.lexsort((fp, tok))
-        tok, fp = tok[order], fp[order]
+        n = np.frombuffer(b"".join(table["ns"].to_pylist()), np.int32).astype(np.int64)
+        order = np.lexsort((fp, n, tok))
+        tok, fp, n = tok[order], fp[order], n[order]
         new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (fp[1:] != fp[:-1])])
-        tok, fp = tok[new], fp[new]
-        edge = np.concatenate([[True], tok[1:] != tok[:-1]])
-        at = np.flatnonzero(edge)
-        count = np.diff(np.concatenate([at, [len(tok)]]))
-        keep = np.repeat(count > 1, count) | (salts[(tok >> np.uint64(48)).astype(np.int64)] > 1)
-        return pa.table({"tok": tok[keep].view(np.int64), "fp": fp[keep]})
+        tok, fp, n = tok[new], fp[new], n[new]
+        # In order of size, a point that may link has a neighbour that may.
+        near = (tok[1:] == tok[:-1]) & (4 * n[:-1] >= 3 * n[1:])
+        keep = np.concatenate([[False], near]) | np.concatenate([near, [False]]) | (salts[(tok >> np.uint64(48)).astype(np.int64)] > 1)
+        return pa.table({"tok": tok[keep].view(np.int64), "fp": fp[keep], "n": n[keep].astype(np.int32)})
 
-    packed = docs.select("text").mapInArrow(pack, "key long, toks binary, fps binary")
-    return packed.groupBy("key").applyInArrow(shared_tokens, "tok long, fp long")
+    packed = docs.select("text").mapInArrow(pack, "key long, toks binary, fps binary, ns binary")
+    return packed.groupBy("key").applyInArrow(shared_tokens, "tok long, fp long, n int")
 
 
 def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for x, fp in zip(text_bytes(b.column("text")), b.column("fp").to_pylist(), strict=True):
                     t = shingle_set(x)
                     if len(t) and fingerprint(t) == fp:  # another row may share the doc_id
-                        rows.append((fp, len(t), count_vector(t).tobytes(), t.tobytes()))
+                        rows.append((fp, len(t), count_vector(t).tobytes(), packed(t)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["fp", "n", "vec", "toks"])
 
     return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "fp long, n long, vec binary, toks binary")
@@ -165,18 +167,33 @@ def _bounded(pairs: DataFrame, keep: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of points those that link."""
+    """Of pairs (a, b) of points those that link: first by the bound over count
+    vectors, then, for those it leaves, by the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                ok = [7 * len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) >= 3 * (len(x) + len(y)) // 8 for x, y in zip(b.column("toks_a").to_pylist(), b.column("toks_b").to_pylist(), strict=True)]
+                b, ok = whole.slice(at, 512), []
+                for x, y in zip(b.column("toks_a").to_pylist(), b.column("toks_b").to_pylist(), strict=True):
+                    x, y = unpacked(x), unpacked(y)
+                    ok.append(7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)))
                 yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    sides = [points.select(*[F.col(c).alias(t) for c, t in (("fp", s), ("n", f"n_{s}"), ("n", f"most_{s}"), ("vec", f"vec_{s}"), ("toks", f"toks_{s}"))]) for s in "ab"]
-    both = pairs.join(sides[1], "b").join(sides[0], "a")
-    return _bounded(both, "a,b,toks_a,toks_b").mapInArrow(run, "a long, b long")
+    sides = [points.select(*[F.col(c).alias(t) for c, t in (("fp", s), ("n", f"n_{s}"), ("n", f"most_{s}"), ("vec", f"vec_{s}"))]) for s in "ab"]
+    left = stored(_bounded(pairs.join(sides[1], "b").join(sides[0], "a"), "a,b"), "jaccard-left")
+    toks = [points.select(F.col("fp").alias(s), F.col("toks").alias(f"toks_{s}")) for s in "ab"]
+    return left.join(toks[1], "b").join(toks[0], "a").mapInArrow(run, "a long, b long")
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    """The high 48 bits of sorted tokens, which tell the tokens of two documents apart."""
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def node_join(vec: np.ndarray, least: np.ndarray, most: np.ndarray, fan: int = 16) -> list[tuple[int, int]]:
@@ -269,11 +286,13 @@ def jaccard_components(docs: DataFrame, *, bucket_rows: int = 500_000, hot: int
     points = first.filter("grp IS NULL").select("doc_id", "n", "fp")
     buckets = int(max(64, load.sum() // 4 // bucket_rows))
     blocks = stored(_blocks(docs, load, buckets, hot), "jaccard-blocks")
-    least = blocks.groupBy("tok").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z")
-    stars = stored(blocks.join(least, "tok").filter("a < fp").select("a", F.col("fp").alias("b")).distinct(), "jaccard-stars")
-    involved = stars.select(F.col("a").alias("fp")).union(stars.select("b")).distinct()
+    # A star for each block and range of sizes within which all may link.
+    banded = blocks.withColumn("band", F.floor(F.log("n") / float(np.log(4 / 3))))
+    least = banded.groupBy("tok", "band").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z")
+    stars = stored(banded.join(least, ["tok", "band"]).filter("a < fp").select("a", F.col("fp").alias("b")).distinct(), "jaccard-stars")
+    involved = blocks.select("fp").distinct()
     keepers = points.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(_points(docs, keepers.join(involved, "fp")).dropDuplicates(["fp"]), "jaccard-points")
+    sets = stored(_points(docs, keepers.join(involved, "fp")), "jaccard-points")
     links = stored(_verified(stars, sets), "jaccard-links")
     discard(stars)
     families = components(links).withColumnRenamed("node", "fp").withColumnRenamed("label", "family")
