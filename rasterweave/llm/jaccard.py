@@ -143,12 +143,12 @@ def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
 
 
 def may_overlap(vec_a: np.ndarray, vec_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Whether the bound allows 7 * overlap >= 3 * (n_a + n_b), least sizes given."""
-    return 7 * np.minimum(vec_a, vec_b).sum(1, dtype=np.int64) >= 3 * (n_a + n_b)
+    return 7 * np.minimum(vec_a, vec_b).sum(1, dtype=np.uint32).astype(np.int64) >= 3 * (n_a + n_b)
 
 
 def _bounded(pairs: DataFrame, keep: str) -> DataFrame:
@@ -237,7 +237,7 @@ def _nodes(points: DataFrame) -> DataFrame:
         order = np.argsort(family, kind="stable")
         family = family[order]
         at = np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1]]))
-        vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint32).reshape(-1, GROUPS)[order]
+        vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint16).reshape(-1, GROUPS)[order]
         up = np.maximum.reduceat(vec, at)
         return pa.table([pa.array(family[at]), pa.array(np.minimum.reduceat(t.column("least").to_numpy()[order], at)), pa.array(np.maximum.reduceat(t.column("most").to_numpy()[order], at)), pa.array([x.tobytes() for x in up], pa.binary())], schema=schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Groups of the count vector.
-GROUPS = 128
+GROUPS = 512
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -80,5 +80,9 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 
 def count_vector(tokens: np.ndarray) -> np.ndarray:
-    """How many tokens fall in each of GROUPS groups."""
-    return np.bincount((tokens >> _U(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.uint32)
+    """How many tokens fall in each of GROUPS groups, in 16 bits.  A set too large
+    for these is at the maximum everywhere, so that its bound never excludes."""
+    counts = np.bincount((tokens >> _U(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
+    if counts.max(initial=0) > 65535:
+        counts = np.full(GROUPS, 65535)
+    return counts.astype(np.uint16)
