@@ -186,8 +186,8 @@ def _leaves(d: DataFrame) -> DataFrame:
 
 pixels("leaf_neighbors", "emb_check", lambda d: quadtree.leaf_neighbours(_leaves(d), 4), sql.split("overlap") + sql.LEAF_NEIGHBOURS)
 pixels("draw_tree_mean", "emb_check", lambda d: quadtree.draw_means(d, _leaves(d), 16, 4), sql.split("overlap") + sql.DRAW)
-pixels("links8", "emb_check", lambda d: rounded(quadtree.links8(d, 16), "angle"), sql.LINKS + "SELECT ay, ax, by, bx, round(angle, 6) + 0.0 AS angle FROM links")
-pixels("links_lines", "emb_check", lambda d: rounded(quadtree.link_lines(d, 16), "weight"), sql.LINKS + "SELECT ax + 8 AS x1, ay + 8 AS y1, bx + 8 AS x2, by + 8 AS y2, round(abs(a.s / a.n - b.s / b.n), 6) + 0.0 AS weight FROM links JOIN r a ON a.y = ay AND a.x = ax JOIN r b ON b.y = links.by AND b.x = bx")
+pixels("links8", "emb_check", lambda d: rounded(quadtree.links8(d, 16), "angle"), sql.LINKS + "SELECT ay, ax, links.\"by\", bx, round(angle, 6) + 0.0 AS angle FROM links")
+pixels("links_lines", "emb_check", lambda d: rounded(quadtree.link_lines(d, 16), "weight"), sql.LINKS + 'SELECT ax + 8 AS x1, ay + 8 AS y1, bx + 8 AS x2, links."by" + 8 AS y2, round(abs(a.s / a.n - b.s / b.n), 6) + 0.0 AS weight FROM links JOIN r a ON a.y = ay AND a.x = ax JOIN r b ON b.y = links."by" AND b.x = bx')
 
 # Grids of trees -----------------------------------------------------------------------------
 pixels("tree_edges", "emb_check", lambda d: rounded(quadtree.tree_edges(d, 16).drop("n", "s", "s2"), "dx", "dy", "mag", "ang"), sql.tree_edges(16, 16) + "SELECT r, c, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, round(mag, 6) + 0.0 AS mag, round(ang, 6) + 0.0 AS ang FROM te")
@@ -216,45 +216,49 @@ def _edge_segments(d: DataFrame) -> DataFrame:
     return grids.segment_edges(_trees(d), 2, 0.0, "N4", 1, 2.6, "N4")
 
 
+def _row_segments(d: DataFrame) -> DataFrame:
+    return grids.segment_edges(_trees(d), 2, 0.0, "N4", 1, 2.6, "H")
+
+
 pixels("segment_edges", "emb_check", _edge_segments, sql.SEGMENT_EDGES + "SELECT r, c, segment FROM seg")
 
 
 def _with_segments(f: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """f(pixels, trees, segments, wanted): wanted are segments of an even first row."""
+    """f(pixels, trees, segments, wanted): segments of rows, those of every third row wanted."""
     def run(d: DataFrame) -> DataFrame:
         from ..session import cut
 
-        s = cut(_edge_segments(d))
-        return f(d, _trees(d), s, s.select("img", "segment").distinct().filter(F.expr("(segment div 4294967296) % 2 = 0")))
+        s = cut(_row_segments(d))
+        return f(d, _trees(d), s, s.select("img", "segment").distinct().filter(F.expr("(segment div 4294967296) % 3 = 0")))
 
     return run
 
 
-pixels("segment_list", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_list(s, t, 8)), sql.SEGMENT_EDGES + "SELECT segment, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s, sum(s2)::BIGINT AS s2, min(r) * 8 AS y1, min(c) * 8 AS x1, max(r) * 8 + 7 AS y2, max(c) * 8 + 7 AS x2 FROM seg JOIN te USING (r, c) GROUP BY segment")
-pixels("segment_trees", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_trees(s, w)), sql.SEGMENT_EDGES + "SELECT r, c, segment FROM seg WHERE (segment // 4294967296) % 2 = 0")
-pixels("segment_neighbors", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_neighbours(s, w)), sql.SEGMENT_EDGES + "SELECT DISTINCT b.segment FROM seg a JOIN seg b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE (a.segment // 4294967296) % 2 = 0 AND (b.segment // 4294967296) % 2 = 1")
-pixels("mask", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_mask(d, s, w, 8, 2)), sql.SEGMENT_EDGES + "SELECT p.y, p.x, CASE WHEN g.r IS NULL THEN 0 ELSE 255 END AS v FROM px p LEFT JOIN (SELECT r, c FROM seg WHERE (segment // 4294967296) % 2 = 0) g ON g.r = floor((p.y - 2) / 8.0) AND g.c = p.x // 8")
+pixels("segment_list", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_list(s, t, 8)), sql.ROW_SEGMENTS + "SELECT segment, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s, sum(s2)::BIGINT AS s2, min(r) * 8 AS y1, min(c) * 8 AS x1, max(r) * 8 + 7 AS y2, max(c) * 8 + 7 AS x2 FROM seg JOIN te USING (r, c) GROUP BY segment")
+pixels("segment_trees", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_trees(s, w)), sql.ROW_SEGMENTS + "SELECT r, c, segment FROM seg WHERE (segment // 4294967296) % 3 = 0")
+pixels("segment_neighbors", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_neighbours(s, w)), sql.ROW_SEGMENTS + "SELECT DISTINCT b.segment FROM seg a JOIN seg b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE (a.segment // 4294967296) % 3 = 0 AND (b.segment // 4294967296) % 3 <> 0")
+pixels("mask", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_mask(d, s, w, 8, 2)), sql.ROW_SEGMENTS + "SELECT p.y, p.x, CASE WHEN g.r IS NULL THEN 0 ELSE 255 END AS v FROM px p LEFT JOIN (SELECT r, c FROM seg WHERE (segment // 4294967296) % 3 = 0) g ON g.r = floor((p.y - 2) / 8.0) AND g.c = p.x // 8")
 
 
-def _bounds(d: DataFrame) -> DataFrame:
+def _bounds(d: DataFrame, size: int = 8) -> DataFrame:
     from ..session import cut
 
-    return cut(grids.boundaries(_trees(d), 2, 0.0))
+    return cut(grids.boundaries(_trees(d, size), 2, 0.0))
 
 
 pixels("boundaries", "emb_check", lambda d: _bounds(d).select("r", "c", "has_boundary"), sql.BOUNDARIES + "SELECT r, c, has_boundary FROM fb")
 pixels("boundaries_hysteresis", "emb_check", lambda d: grids.strong_boundaries(_bounds(d), 0.5).select("r", "c", "has_boundary"))
-pixels("chain_links", "emb_check", lambda d: grids.chain_links(_bounds(d)))
-pixels("chains", "emb_check", lambda d: sequential.chains(b := _bounds(d), grids.chain_links(b)))
-pixels("chain_lines", "emb_check", lambda d: sequential.chain_lines(sequential.chains(b := _bounds(d), grids.chain_links(b)), 8))
-pixels("sniffers", "emb_check", lambda d: sequential.sniff(b := _bounds(d), sequential.chains(b, grids.chain_links(b))).select("a", "b", "cost", F.size("path").alias("steps")))
+pixels("chain_links", "emb_check", lambda d: grids.chain_links(_bounds(d, 4)))
+pixels("chains", "emb_check", lambda d: sequential.chains(b := _bounds(d, 4), grids.chain_links(b)))
+pixels("chain_lines", "emb_check", lambda d: sequential.chain_lines(sequential.chains(b := _bounds(d, 4), grids.chain_links(b)), 4))
+pixels("sniffers", "emb_check", lambda d: sequential.sniff(b := _bounds(d, 4), sequential.chains(b, grids.chain_links(b))).select("a", "b", "cost", F.size("path").alias("steps")))
 pixels("parse", "emb_check", lambda d: rounded(grids.parse(_trees(d), 2, 0.0), "strength"))
 pixels("parse_boundaries", "emb_check", lambda d: grids.parse_boundaries(_trees(d), 2).select("r", "c", "has_boundary"))
 pixels("segment_overlap", "emb_check", lambda d: sequential.merge_leaves(_leaves(d), alpha=3.0, tree_limit=0.5, segment_limit=0.5))
 pixels("segment_deviation", "emb_check", lambda d: sequential.merge_leaves(quadtree.divide(d, 16, 4, quadtree.by_deviation(18.0)), alpha=1.0, tree_limit=18.0, segment_limit=9.0, measure="deviation"))
 pixels("segment_boundaries", "emb_check", lambda d: sequential.boundary_segments(_bounds(d), tree_alpha=1.0, segment_alpha=1.0))
 pixels("prune", "emb_check", lambda d: sequential.boundary_segments(_bounds(d), tree_alpha=1.0, segment_alpha=1.0, prune=True))
-pixels("contour", "emb_check", lambda d: sequential.contours(_edge_segments(d), 8, 16, 16))
+pixels("contour", "emb_check", lambda d: sequential.contours(_edge_segments(d), 8, 8, 8))
 
 # Video ------------------------------------------------------------------------------------------
 pixels("motion_blocks", "ev_video", lambda d: temporal.motion(d, 2).select("frame", "r", "c", "changed"), sql.MOTION)

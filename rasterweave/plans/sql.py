@@ -198,7 +198,7 @@ LEAF_NEIGHBOURS = """SELECT a.y AS ay, a.x AS ax, a.size AS asize, b.y AS by, b.
 UNION ALL SELECT a.y, a.x, a.size, b.y, b.x, b.size, 'S' FROM lf a JOIN lf b ON a.y + a.size = b.y AND a.x < b.x + b.size AND b.x < a.x + a.size"""
 DRAW = "SELECT p.y, p.x, trunc(l.s / l.n)::INT AS v FROM px p JOIN lf l ON p.y >= l.y AND p.y < l.y + l.size AND p.x >= l.x AND p.x < l.x + l.size"
 LINKS = f"""{grid_cte(16)}, {blocks_cte(16, 16)}, links AS (
-  SELECT a.y AS ay, a.x AS ax, b.y AS by, b.x AS bx, atan2((b.y - a.y)::DOUBLE, (b.x - a.x)::DOUBLE) AS angle
+  SELECT a.y AS ay, a.x AS ax, b.y AS "by", b.x AS bx, atan2((b.y - a.y)::DOUBLE, (b.x - a.x)::DOUBLE) AS angle
   FROM r a JOIN r b ON (b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1)) """
 
 
@@ -263,6 +263,7 @@ lab(id, label) USING KEY (id) AS (
   SELECT id, id FROM onn UNION
   SELECT e.b, min(l.label) FROM lab l JOIN eb e ON e.a = l.id JOIN recurring.lab k ON k.id = e.b WHERE l.label < k.label GROUP BY e.b),
 seg AS (SELECT r, c, label AS segment FROM onn JOIN lab USING (id)) """
+ROW_SEGMENTS = SEGMENT_EDGES.replace("abs(a.r - b.r) + abs(a.c - b.c) = 1", "a.r = b.r AND abs(a.c - b.c) = 1")
 BOUNDARIES = f"{tree_edges(8, 8)}, td AS MATERIALIZED (SELECT *, {_DEV} AS dev FROM te), {stands_cte('td', 'dev', 2, 'fb', 'has_boundary')} "
 
 MOTION = f"""bl AS (SELECT frame, (y // 2)::INT AS r, (x // 2)::INT AS c, count(*) AS n, sum(v) AS s, sum(v * v) AS s2 FROM px GROUP BY ALL),
