@@ -5,9 +5,10 @@ and written as one ORC file a range: the ids as an integer list (ORC's own
 run-length encoding), a row index every ``stride`` rows and a Bloom filter on
 doc_id, so that stripes are read in parallel and a look-up by id skips the rest.
 
-Words between white space are encoded once each and then looked up: the
-tokenizer of the contract drops white space, and no token spans it.  Other
-tokenizers pass ``by_word=False`` and encode whole texts.
+By word (for tokenizers that drop white space and encode the pieces of one
+fixed split each for itself) pieces are encoded once and then looked up; texts
+with characters beyond Latin Extended-B, or with marks of special tokens, are
+encoded whole.  Other tokenizers pass ``by_word=False``.
 
 Defined cases: a null text is encoded as an empty one (only the end id); rows
 with a null doc_id come first; rows that share a doc_id stay together in an
@@ -18,8 +19,9 @@ written.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,48 +31,81 @@ from pyspark.sql.window import Window as W
 
 from .common import new_path
 
-#: Words that a task remembers before it starts afresh (about 40 MB).
-REMEMBERED = 200_000
-
-
-def word_encoder(path: str, by_word: bool = True) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian 32-bit integers."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-
-    def encode(text: str) -> bytes:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
-
-    if not by_word:
-        return encode
-    known: dict[str, bytes] = {}
-
-    def encode_words(text: str) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = encode(w)
-            return b"".join([known[w] for w in words])
-
-    return encode_words
+#: Pieces that a worker remembers before it starts afresh (about 60 MB).
+REMEMBERED = 300_000
+#: Fixed values of the tokenizer's own split, for texts up to Latin Extended-B:
+#: letters, numbers, white space, and the endings that it sets off.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: Texts that are encoded whole: other scripts, and marks of special tokens.
+_WHOLE = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
+_END = "</w>"
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+class Encoder:
+    """Texts to ids as little-endian 32-bit integers.
+
+    By word: lower-cased texts are cut into the tokenizer's own pieces, new ones
+    are encoded together, and each is remembered."""
+
+    def __init__(self, path: str, by_word: bool) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.known: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(_END) for i in range(size)])
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self.known.clear()
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<i4")
+            cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cut) == len(part) + 1 and cut[-1] == len(ids):
+                self.known.update(zip(part, (ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)), strict=True))
+            else:
+                self.known.update((p, self.whole(p)) for p in part)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
+        cut = [None if _WHOLE.search(t) else _PIECE.findall(t.lower()) for t in texts]
+        out = []
+        for at in range(0, len(cut), 64):
+            new = set().union(*(c for c in cut[at : at + 64] if c)).difference(self.known)
+            if new:
+                before = len(self.known)
+                self.learn(sorted(new))
+                if len(self.known) < before + len(new):  # it started afresh
+                    self.learn(sorted(set().union(*(c for c in cut[at : at + 64] if c)).difference(self.known)))
+            get = self.known.__getitem__
+            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at : at + 64], cut[at : at + 64], strict=True)]
+        return out
+
+
+def encoder(path: str, by_word: bool = True) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    if (path, by_word) not in _ENCODERS:
+        _ENCODERS[path, by_word] = Encoder(path, by_word)
+    return _ENCODERS[path, by_word]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, by_word: bool = True, partitions: int | None = None, stride: int = 10_000, stripe_mb: int = 64) -> None:
     """Write doc_id, seq (row in its file), ids of every row of docs to path."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seq, end = word_encoder(tokenizer, by_word), 0, np.int32(end_id).tobytes()
+        own, seq, end = encoder(tokenizer, by_word), 0, np.int32(end_id).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                parts = [encode(x or "") + end for x in b.column("text").to_pylist()]
+                parts = [x + end for x in own.encode([x or "" for x in b.column("text").to_pylist()])]
                 ends = np.cumsum([0] + [len(x) // 4 for x in parts]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.arange(seq, seq + b.num_rows)), ids], ["doc_id", "seq", "ids"])
