@@ -1,0 +1,434 @@
+"""Training-data operators against brute force on small, awkward tables."""
+
+import binascii
+import hashlib
+import math
+import re
+import zlib
+from base64 import b32encode
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rasterweave.llm import ann, decontaminate, jaccard, mixing, pii, quality, sharding, shingles, tokens, toxicity, warc
+from rasterweave.llm.components import components
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows, extra=False):
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+    return df.withColumn("size", F.lit("clash")).withColumn("slot", F.lit(1.5)).withColumn("taken", F.lit(None).cast("int")) if extra else df
+
+
+def words(rng, n, pool=400):
+    return " ".join(f"w{int(x)}" for x in rng.integers(0, pool, n))
+
+
+# Shingles and the Jaccard join ---------------------------------------------
+
+
+def plain_set(text):
+    w = [x.lower() if x.isascii() else re.sub(rb"[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall((text or "").encode())]
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_shingle_sets_follow_the_words():
+    rng = np.random.default_rng(1)
+    for text in ("", " \t\n", "A b", "a B", "É é", "one two three four five", "x  y\x0bz", words(rng, 300), "a" * 70000 + " b c d e f"):
+        assert len(shingles.shingle_set(text.encode())) == len(plain_set(text))
+    assert (shingles.shingle_set(b"A b C d E f") == shingles.shingle_set(b"a B c D e F")).all()
+    assert (shingles.shingle_set("É b c d e".encode()) != shingles.shingle_set("é b c d e".encode())).all()
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = words(np.random.default_rng(2), 4000).encode()
+    whole = shingles.shingle_set(text)
+    monkeypatch.setattr(shingles, "_BLOCK", 777)
+    assert (shingles.shingle_set(text) == whole).all()
+
+
+def family(rng, base, k):
+    out = [" ".join(base)]
+    for _ in range(k):
+        w = list(base)
+        for _ in range(int(rng.integers(1, 6))):
+            w[int(rng.integers(0, len(w)))] = f"e{int(rng.integers(0, 9999))}"
+        out.append(" ".join(w))
+    return out
+
+
+def jaccard_rows():
+    rng = np.random.default_rng(3)
+    passage = words(rng, 60)
+    rows = [(None, None, "a"), (None, "x", "a"), (1, "", "a"), (2, None, None), (3, "x", "b"), (4, "X", "b"), (5, "x y", "b")]
+    at = 10
+    for size, copies in ((40, 6), (90, 9), (300, 4)):
+        for t in family(rng, words(rng, size, 5000).split(), copies):
+            rows.append((at, t, "s"))
+            at += 1
+    for _ in range(25):
+        rows.append((at, f"{words(rng, int(rng.integers(5, 30)), 5000)} {passage} {words(rng, 10, 5000)}", "s"))
+        at += 1
+    rows += [(at + i, rows[12][1], "s") for i in range(5)] + [rows[20]]
+    return rows
+
+
+def brute_components(rows):
+    sets = [plain_set(t) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    low = {}
+    for i, (doc, _, _) in enumerate(rows):
+        if doc is not None:
+            low[find(i)] = min(doc, low.get(find(i), doc))
+    return Counter((doc, len(sets[i]), low.get(find(i), doc)) for i, (doc, _, _) in enumerate(rows))
+
+
+def key(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 40, "chunk": 3, "bucket_rows": 50}])
+def test_components_equal_brute_force(spark, how):
+    rows = jaccard_rows()
+    got = jaccard.jaccard_components(documents(spark, rows, extra=True).repartition(3), **how)
+    assert key(got.collect()) == brute_components(rows)
+
+
+def test_one_of_each_keeps_the_least(spark):
+    rows = jaccard_rows()
+    want = {d for d, n, c in brute_components(rows) if n == 0 or d == c}
+    assert {r[0] for r in jaccard.one_of_each(documents(spark, rows)).select("doc_id").collect()} == want
+
+
+def test_node_join_finds_all_that_bounds_allow():
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(2**60, n, replace=False).astype(np.uint64) for n in rng.integers(20, 60, 120)]
+    sets += [np.concatenate([s[:-2], rng.choice(2**60, 2).astype(np.uint64)]) for s in sets[:40]]
+    vec = np.array([shingles.count_vector(s) for s in sets])
+    n = np.array([len(s) for s in sets])
+    want = {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if 7 * int(np.minimum(vec[i], vec[j]).sum()) >= 3 * (n[i] + n[j]) and 4 * n[i] >= 3 * n[j] and 4 * n[j] >= 3 * n[i]}
+    got = {tuple(sorted(p)) for p in jaccard.node_join(vec, n, n, fan=4)}
+    assert got == want and len(want) >= 40
+
+
+def test_component_labels_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)], "a long, b long")
+    got = dict(components(edges).collect())
+    assert {got[i] for i in range(61)} == {0} and got[150] == 100
+
+
+# Mixing -----------------------------------------------------------------------
+
+
+def filled(sizes, share=Fraction(3, 2), limit=2):
+    """Targets by sharing out again and again."""
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    target, open_, left = {}, set(sizes), share * sum(sizes.values())
+    while open_:
+        level = Fraction(left, sum(weight[s] for s in open_))
+        full = {s for s in open_ if weight[s] * level > limit * sizes[s]}
+        if not full:
+            return target | {s: weight[s] * level for s in open_}
+        for s in full:
+            target[s] = Fraction(limit * sizes[s])
+            left -= target[s]
+        open_ -= full
+    return target
+
+
+def test_mix_meets_targets(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, words(rng, int(rng.integers(0, 40))), ["hot", "b", "c", "d", None, "é"][int(min(5, rng.integers(0, 14) // 2))]) for i in range(700)]
+    rows += [(None, None, "b"), (701, "", "empty"), rows[5], rows[5]]
+    got = mixing.mix(documents(spark, rows, extra=True)).collect()
+    assert len(got) == len(rows)
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(WORD.findall((t or "").encode()))
+    want = filled(size)
+    taken = Counter()
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and 0 <= r["taken"] <= 2 * r["size"]
+        assert r["target"] == pytest.approx(float(want[r["source"]]))
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - float(want[s])) <= 160 for s in size)
+    assert sum(taken.values()) <= 1.5 * sum(size.values())
+    assert key(got) == key(mixing.mix(documents(spark, rows[::-1])).collect())
+    copies = Counter(r["doc_id"] for r in mixing.mixed_documents(documents(spark, rows)).collect())
+    for r in got:
+        if r["size"] and r["doc_id"] is not None and r["doc_id"] != 5:
+            assert copies[r["doc_id"]] == r["taken"] // r["size"]
+
+
+def test_mix_of_nothing(spark):
+    assert mixing.mix(documents(spark, [])).count() == 0
+    assert [r["taken"] for r in mixing.mix(documents(spark, [(1, "", "a"), (2, None, None)])).collect()] == [0, 0]
+
+
+# Sharding -----------------------------------------------------------------------
+
+
+def test_shards_are_exact_and_gapless(spark):
+    rows = [(i % 90 if i % 7 else None, None if i % 11 == 0 else f"t{i % 5}", "s") for i in range(203)]
+    got = sharding.shard(documents(spark, rows, extra=True).drop("slot"), 8).collect()
+    count = Counter(r["shard"] for r in got)
+    assert len(got) == 203 and max(count.values()) - min(count.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in count.items())
+    again = sharding.shard(documents(spark, rows[::-1], extra=True).drop("slot").repartition(5), 8).collect()
+    assert key(r[:5] + r[-2:] for r in got) == key(r[:5] + r[-2:] for r in again)
+    d = sharding.shard_digest(documents(spark, [(1, None, "a"), (2, "é", "a")]), 8).collect()
+    assert {(r["size"], r["text_crc32"]) for r in d} == {(1, 0), (3, binascii.crc32("é".encode()))}
+    assert sharding.shard_digest(documents(spark, [])).count() == 0
+
+
+def test_matrix_sums_and_law():
+    m = np.array(sharding.communication_matrix([5, 0, 9, 2], [4, 4, 4, 4], 1))
+    assert m.sum(1).tolist() == [5, 0, 9, 2] and m.sum(0).tolist() == [4, 4, 4, 4]
+    rng = np.random.default_rng(0)
+    got = [sharding.hypergeometric(rng, 7, 13, 6) for _ in range(4000)]
+    assert np.mean(got) == pytest.approx(6 * 7 / 20, abs=0.08)
+    big = [sharding.hypergeometric(rng, 10**9, 10**9, 10_000) for _ in range(300)]
+    assert np.mean(big) == pytest.approx(5000, abs=15) and 35 < np.std(big) < 65
+
+
+# WARC ---------------------------------------------------------------------------
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, payload string")
+
+
+def warc_rows():
+    nested = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [(i, f"http://x/{i}", f"<p>{i % 4}</p>\r\n\r\n" * 30) for i in range(40)]
+    rows += [(50, None, None), (51, "u v", ""), (52, "u", f"a{nested}b"), (53, "u", nested), (54, "u", "WARC/1.1\r\n" * 3), (55, "u", f"a{nested}b"), (None, "n", "null id"), (3, "twice", rows[3][2]), (60, "é", "ünï\x00 é")]
+    return rows
+
+
+@pytest.mark.parametrize("split", ["128m", "700b"])
+def test_warc_round_trip(spark, tmp_path, split):
+    rows = warc_rows()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        warc.write_warc(pages(spark, rows).coalesce(2), f"file://{tmp_path}/w")
+        got = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    first = {}
+    for i, _, t in rows:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    want = Counter()
+    for i, _, t in rows:
+        b, top = (t or "").encode(), first.get(t or "")
+        again = top is not None and i != top
+        want[i, len(b), b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", top if again else None] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert all(bytes(r["payload"]) == next((t or "").encode() for i, _, t in rows if i == r["page_id"]) for r in got if r["record_type"] == "response")
+
+
+def test_warc_of_nothing_and_cut_off(spark, tmp_path):
+    warc.write_warc(pages(spark, []), f"file://{tmp_path}/e")
+    assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
+    (tmp_path / "bad.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n")
+    with pytest.raises(ValueError):
+        warc.read_warc(spark, f"file://{tmp_path}/bad.warc")
+
+
+# Nearest neighbours --------------------------------------------------------------
+
+
+def brute_nearest(rows, step, k):
+    ok = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and None not in v and len(v) == 6 and np.isfinite(v).all() and any(v)}
+    out = {}
+    for q in (i for i in ok if i % step == 0):
+        s = sorted(((-sum(float(a) * float(b) for a, b in zip(ok[q], ok[i], strict=True)), i) for i in ok if i != q))
+        out[q] = [(i, -v) for v, i in s[:k]]
+    return out
+
+
+@pytest.mark.parametrize("n,equal", [(15, False), (900, True)])
+def test_nearest_equals_brute_force(spark, n, equal):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * (1 + i % 3)]) for i in range(n)]
+    if equal:
+        rows = [(i, rows[0][1] if i % 3 == 0 else v) for i, v in rows]
+    rows += [(5000, None), (5020, [0.0] * 6), (5040, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5060, [float("nan")] * 6), (5080, [float("inf")] * 6), (5100, [1.0]), (None, rows[1][1]), rows[2]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20, chunk=64, recall=0.98).collect()
+    want, mine = brute_nearest(rows, 20, 20), {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        mine.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(mine[r["query_id"]])
+    assert mine.keys() == want.keys() and all(len(mine[q]) == len(want[q]) for q in want)
+    recall = np.mean([len({i for i, _ in mine[q]} & {i for i, _ in want[q]}) / max(1, len(want[q])) for q in want])
+    assert recall >= 0.9
+    for q in want:
+        exact = {i: v for i, v in brute_nearest(rows, 20, 10**6)[q]} if q == 0 else {}
+        assert all(exact.get(i, v) == pytest.approx(v, abs=1e-12) for i, v in mine[q])
+        assert mine[q] == sorted(mine[q], key=lambda x: (-x[1], x[0]))
+
+
+def test_nearest_of_nothing(spark):
+    df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
+    assert ann.nearest(df, F.col("vec_id") % 20 == 0).count() == 0
+
+
+# Tokens ---------------------------------------------------------------------------
+
+
+def test_tokens_round_trip(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    odd = ["", None, "'S it's IT'LL x'''s don't", "a\x1cb", "ÀÉ²³ ¼a ªº", "<|endoftext|> a", "İstanbul Σας", "日本語 text", "é é", "nbsp\xa0x\x85y", "__a", "😀 ok", "x" * 3000]
+    rows = [(i * 3, x, "s") for i, x in enumerate(odd)] + [(None, "first", "s"), (6, "a", "s"), (6, "a", "s")]
+    got = tokens.tokens_round_trip(documents(spark, rows, extra=True), path, 2, partitions=3).collect()
+    ids = {}
+    for i, x, _ in rows:
+        seq = t.encode(x or "", add_special_tokens=False).ids + [2]
+        ids.setdefault(i, []).append((len(seq), zlib.crc32(np.array(seq, "<u4").tobytes())))
+    mine = {}
+    for r in sorted(got, key=lambda r: r["start"]):
+        mine.setdefault(r["doc_id"], []).append((r["n_tokens"], r["ids_crc32"]))
+    assert {k: sorted(v) for k, v in mine.items()} == {k: sorted(v) for k, v in ids.items()}
+    order = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in order] == [0, *np.cumsum([r["n_tokens"] for r in order]).tolist()[:-1]]
+    known = [r["doc_id"] for r in order if r["doc_id"] is not None]
+    assert known == sorted(known) and order[0]["doc_id"] is None
+    assert tokens.tokens_round_trip(documents(spark, []), path).count() == 0
+
+
+# Decontamination --------------------------------------------------------------------
+
+
+def test_leaks_and_near_leaks(spark):
+    rng = np.random.default_rng(8)
+    items = [(i, words(rng, 40, 3000)) for i in range(30)] + [(90, None), (91, ""), (92, "two words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    edited = items[3][1].split()
+    for i in (4, 11, 20, 29, 36):
+        edited[i] = "zz"
+    del edited[25]
+    filler = lambda n: words(rng, n, 3000)
+    rows = [(1, filler(200), "s"), (2, f"{filler(90)} {items[7][1].upper()}, {filler(30)}", "s"), (3, f"{filler(50)} {' '.join(edited)} {filler(50)}", "s"), (4, None, "s"), (5, "", "s"), (6, f"{items[1][1]} {filler(300)} {items[2][1]}", "s"), (2, filler(30), "s")]
+    rows += [(100 + i, f"{filler(20)} {items[9][1]}", "s") for i in range(40)]
+    for how in ({}, {"block_grams": 100}):
+        got = decontaminate.contaminated(documents(spark, rows, extra=True), bench, **how)
+        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(2, 7), (3, 3), (6, 1), (6, 2)} | {(100 + i, 9) for i in range(40)}
+    kept = decontaminate.clean(documents(spark, rows), bench).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 4, 5]
+    assert decontaminate.contaminated(documents(spark, rows), bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(documents(spark, []), bench).count() == 0
+
+
+def plain_align(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return int(h.max())
+
+
+def test_alignment_scores_equal_the_table():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        a, b = rng.integers(0, 6, int(rng.integers(1, 25))), rng.integers(-1, 6, int(rng.integers(1, 40)))
+        score, hits, start, end = decontaminate.align(a, b)
+        assert score == plain_align(a, b)
+        assert 0 <= start <= end <= len(b) and 2 * hits >= score
+
+
+# Quality and toxicity ------------------------------------------------------------------
+
+
+def labelled(spark, n=240):
+    rng = np.random.default_rng(10)
+    rows, labels = [], []
+    for i in range(n):
+        bad, mean = i % 3 == 0, i % 4 == 0
+        t = words(rng, 60)
+        t = t.upper().replace(" ", "!! ") if bad else t + ". " + words(rng, 20)
+        if mean:
+            t += f". you {['idiot', 'scum', 'moron'][i % 3]} of {words(rng, 4)}. the end"
+        rows.append((i, t, "s"))
+        labels.append((i, int(not bad), int(mean)))
+    rows += [(9000, None, None), (9001, "", "s"), (9002, "x", "s"), rows[0]]
+    labels += [(9000, None, None), (9001, 1, 0)]
+    return documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_on_unseen_rows(spark):
+    docs, labels = labelled(spark)
+    space = quality.fit_quality(docs, labels, F.col("doc_id") % 2 == 0, sample=100)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, space).collect()}
+    want = {r["doc_id"]: r["quality"] for r in labels.filter("doc_id % 2 = 1 AND doc_id < 9000").collect()}
+    assert np.mean([(got[i] >= 0.5) == (y == 1) for i, y in want.items()]) > 0.97
+    assert all(0 <= v <= 1 and not math.isnan(v) for v in got.values()) and len(got) == 243
+    none = quality.fit_quality(docs, labels.limit(0), F.lit(True))
+    assert {r["score"] for r in quality.score_quality(docs, none).collect()} == {0.5}
+
+
+def test_toxicity_finds_documents_and_sentences(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit_toxicity(docs, labels, F.col("doc_id") % 2 == 0)
+    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(docs.withColumn("tox_score", F.lit("x")), model, spans=True).collect()}
+    want = {r["doc_id"]: r["toxic"] for r in labels.filter("doc_id % 2 = 0 AND doc_id < 9000").collect()}
+    assert np.mean([(rows[i]["tox_score"] >= 0.7) == (y == 1) for i, y in want.items()]) > 0.97
+    for i in (4, 8, 16):
+        spans = rows[i]["tox_spans"]
+        assert spans and all("you " in rows[i]["text"][s["start"] : s["end"]] for s in spans)
+    assert rows[9000]["tox_score"] == rows[9001]["tox_score"] == 0
+    none = toxicity.fit_toxicity(docs, labels.filter("toxic = 0"), F.lit(True))
+    assert toxicity.score_toxicity(docs, none).agg(F.max("tox_score")).first()[0] == 0
+
+
+# Personal data -----------------------------------------------------------------------------
+
+
+def test_surrogates(spark):
+    text = "Mail Bob.Lee@mail.example.com or bob.lee@mail.example.com, call +1 (743) 555-3824 or +1 743 555 3824. IP 10.2.33.254; card 4111 1111 1111 1111. Mrs Anna Smith met Herr Otto Weber and г-жа Анна Петрова. Key 0123456789abcdef0123456789ABCDEF. SSN 123-45-6789. v1.2.3 and 2024-01-01 stay."
+    rows = [(1, text, "a"), (2, None, "a"), (3, "", "a"), (4, "nothing here", "a"), (5, "again +1 (743) 555-3824 x", "a"), (1, text, "a")]
+    got = pii.with_surrogates(documents(spark, rows, extra=True).withColumn("entities", F.lit(3))).orderBy("doc_id").collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 6 and by[2]["text"] is None and by[3]["text"] == "" and by[4]["text"] == "nothing here" and by[4]["n_entities"] == 0
+    new = by[1]["text"]
+    for old in ("ob.Lee", "bob.lee", "555", "10.2.33.254", "4111 1111", "Smith", "Otto", "Петрова", "0123456789abcdef", "123-45-6789"):
+        assert old not in new
+    kinds = [e["kind"] for e in by[1]["entities"]]
+    assert kinds == ["email", "email", "phone", "phone", "ip", "account", "name", "name", "name", "key", "ssn"]
+    e = [x["surrogate"] for x in by[1]["entities"]]
+    assert e[0].lower() == e[1] and e[0] != e[1] and e[1].endswith(".com")
+    assert re.sub(r"\D", "", e[2]) == re.sub(r"\D", "", e[3]) and e[2].startswith("+1 (") and e[2] == by[5]["entities"][0]["surrogate"]
+    assert all(0 <= int(o) <= 255 for o in e[4].split(".")) and [len(o) for o in e[4].split(".")] == [2, 1, 2, 3]
+    digits = [int(c) for c in e[5] if c.isdigit()]
+    assert len(digits) == 16 and sum(d if i % 2 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(digits)) % 10 == 0
+    assert e[6].startswith("Mrs ") and e[6].split()[1].endswith("a") and e[7].startswith("Herr ") and re.fullmatch(r"г-жа [А-я]+ [А-я]+", e[8])
+    assert re.fullmatch(r"[0-9a-f]{16,}[0-9a-fA-F]*", e[9]) and "v1.2.3 and 2024-01-01 stay." in new
+    assert pii.with_surrogates(documents(spark, [])).count() == 0
+
+
+def test_surrogates_never_collide(spark):
+    rows = [(i, f"ip 1.2.{i}.{j}", "a") for i in range(1, 10) for j in range(1, 10)]
+    out = pii.with_surrogates(documents(spark, rows)).select("doc_id", F.col("entities")[0]["surrogate"].alias("s")).collect()
+    new = [r["s"] for r in out]
+    assert len(set(new)) == 81 and not set(new) & {f"1.2.{i}.{j}" for i in range(1, 10) for j in range(1, 10)}
