@@ -89,24 +89,31 @@ class NoisyOr:
         self.weights = {m: float(w[i]) for m, i in place.items() if abs(w[i]) > 0.02}
         self.bias = float(bias)
 
+    def known(self, word: str) -> tuple[str, ...]:
+        """The weighted marks of a word."""
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) > REMEMBERED:
+                self.memo.clear()
+            found = self.memo[word] = tuple(m for m in marks(word) if m in self.weights)
+        return found
+
     def weight(self, words: set[str]) -> float | None:
         """Log odds of a sentence of these lower-case words; None without a mark."""
-        memo = self.memo
         own: set[str] = set()
-        for w in words:
-            known = memo.get(w)
-            if known is None:
-                if len(memo) > REMEMBERED:
-                    memo.clear()
-                known = memo[w] = tuple(m for m in marks(w) if m in self.weights)
-            own.update(known)
+        for known in map(self.known, words):
+            if known:
+                own.update(known)
         return self.bias + sum(sorted(self.weights[m] for m in own)) if own else None
 
     def score(self, text: str) -> float:
         """Noisy-or over the sentences that hold a mark; others count as clean."""
         if not self.weights:
             return 0.0
-        odds = [z for s in SENTENCE.findall(text.lower()) if (z := self.weight(set(TERM.findall(s)))) is not None]
+        low = text.lower()
+        if not any(map(self.known, set(TERM.findall(low)))):
+            return 0.0
+        odds = [z for s in SENTENCE.findall(low) if (z := self.weight(set(TERM.findall(s)))) is not None]
         return float(-np.expm1(-np.sum(np.logaddexp(0, odds)))) if odds else 0.0
 
     def sentence(self, text: str) -> float:
@@ -140,10 +147,11 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, *, spans: bool = False) -> D
         own = shared.value
         for b in batches:
             texts = [x or "" for x in b.column("text").to_pylist()]
-            columns, names = [*b.columns, pa.array([own.score(x) for x in texts], pa.float64())], [*b.schema.names, "tox_score"]
+            scores = [own.score(x) for x in texts]
+            columns, names = [*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "tox_score"]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
-                columns.append(pa.array([[{"start": s, "end": e, "probability": p} for s, e, p in own.locate(x)] for x in texts], kind))
+                columns.append(pa.array([[{"start": s, "end": e, "probability": p} for s, e, p in (own.locate(x) if score >= 0.5 else ())] for x, score in zip(texts, scores, strict=True)], kind))
                 names.append("tox_spans")
             yield pa.RecordBatch.from_arrays(columns, names)
 
