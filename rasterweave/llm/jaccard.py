@@ -8,15 +8,16 @@ sets of their five-word shingles.  Steps, each over all documents:
 2. Points that may link share a token among the first n - ceil(0.75 n) + 1 of
    their sets, in an order by load of the token's group, rare ones first.  These
    tokens are packed by bucket, and tokens with one point only are dropped.
-3. In each token's block, and range of sizes, every point is paired with the
-   least one.  Pairs whose summed coordinate minima of count vectors allow the overlap are
+3. In each token's block, and range of sizes, every point is paired with one of
+   them, a few times over with another one.  Pairs whose summed coordinate minima of count vectors allow the overlap are
    verified on the sets, and links are merged into families.
 4. Families are the nodes of an R-tree over count vectors: a node keeps its
    coordinates' maxima and least and greatest set sizes.  In each block that
    still holds several families, nodes are packed by size into parent nodes and
    joined top-down; the overlap of two nodes is at most the sum of the minima of
-   their maxima.  Pairs that survive go down to point against node, then point
-   against point, and those that survive are verified on the sets.
+   their maxima.  From pairs that survive, points of the smaller family go down
+   to the other family's box, then to its leaves, then to points; pairs of
+   points that survive are verified on the sets.
 5. All links together give the components.
 
 No pair of points is left out but by one of these bounds.  Links inside a family
@@ -229,8 +230,8 @@ def node_join(vec: np.ndarray, least: np.ndarray, most: np.ndarray, fan: int = 1
 
 
 def _nodes(points: DataFrame) -> DataFrame:
-    """family, least, most, vec of families, from points with their family."""
-    schema = pa.schema([("family", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("vec", pa.binary())])
+    """family, least, most, members, vec of families, from points with their family."""
+    schema = pa.schema([("family", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("members", pa.int64()), ("vec", pa.binary())])
 
     def merge(t: pa.Table | pa.RecordBatch) -> pa.Table:
         family = t.column("family").to_numpy()
@@ -239,7 +240,7 @@ def _nodes(points: DataFrame) -> DataFrame:
         at = np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1]]))
         vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint16).reshape(-1, GROUPS)[order]
         up = np.maximum.reduceat(vec, at)
-        return pa.table([pa.array(family[at]), pa.array(np.minimum.reduceat(t.column("least").to_numpy()[order], at)), pa.array(np.maximum.reduceat(t.column("most").to_numpy()[order], at)), pa.array([x.tobytes() for x in up], pa.binary())], schema=schema)
+        return pa.table([pa.array(family[at]), pa.array(np.minimum.reduceat(t.column("least").to_numpy()[order], at)), pa.array(np.maximum.reduceat(t.column("most").to_numpy()[order], at)), pa.array(np.add.reduceat(t.column("members").to_numpy()[order], at)), pa.array([x.tobytes() for x in up], pa.binary())], schema=schema)
 
     def merged(t: pa.Table) -> pa.Table:
         return merge(t)
@@ -249,12 +250,23 @@ def _nodes(points: DataFrame) -> DataFrame:
             if b.num_rows:
                 yield from merge(b).to_batches()
 
-    ddl = "family long, least long, most long, vec binary"
-    rows = points.select("family", F.col("n").alias("least"), F.col("n").alias("most"), "vec")
+    ddl = "family long, least long, most long, members long, vec binary"
+    rows = points.select("family", F.col("n").alias("least"), F.col("n").alias("most"), F.lit(1).cast("long").alias("members"), "vec")
     # One row a family and batch goes on to the final maxima.
     return rows.mapInArrow(partial, ddl).groupBy("family").applyInArrow(merged, ddl)
 
 
+def _stars(blocks: DataFrame, families: DataFrame, turn: int) -> DataFrame:
+    """a, b: in each block and range of sizes within which all may link, the point
+    that is first by a hash (another one each turn) with those of other families;
+    one pair of points for a pair of families."""
+    rows = blocks.join(families, "fp").withColumn("band", F.floor(F.log("n") / float(np.log(4 / 3))))
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("h"), "fp", "family"))
+    least = rows.groupBy("tok", "band").agg(first.alias("c"), F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi").select("tok", "band", F.col("c.fp").alias("a"), F.col("c.family").alias("fa"))
+    pairs = rows.join(least, ["tok", "band"]).filter("family != fa").select(F.least("fa", "family").alias("x"), F.greatest("fa", "family").alias("y"), "a", F.col("fp").alias("b"))
+    return pairs.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+
+
 def _families_that_may_link(blocks: DataFrame, labels: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
     """c, d: distinct pairs of families that share a block and that bounds allow."""
     rows = blocks.join(labels, "fp").select("tok", "family").distinct()
@@ -276,7 +288,41 @@ def _families_that_may_link(blocks: DataFrame, labels: DataFrame, nodes: DataFra
     return rows.groupBy("tok", "x", "y").applyInArrow(join, "c long, d long").distinct()
 
 
-def jaccard_components(docs: DataFrame, *, bucket_rows: int = 500_000, hot: int = 1_000_000, chunk: int = 2048) -> DataFrame:
+def _leaves(points: DataFrame, family: str, page: int) -> DataFrame:
+    """family, leaf: points (p, n, vec) of a family in leaves of about ``page``."""
+    # The number of leaves is an aggregate of one row a family.
+    count = points.groupBy(family).agg(F.ceil(F.count("*") / page).alias("__leaves"))
+    dealt = points.join(count, family).withColumn("__leaf", F.pmod(F.xxhash64("p"), F.col("__leaves")))
+    return dealt.groupBy(family, "__leaf").agg(F.collect_list(F.struct("p", "n", "vec")).alias("leaf")).drop("__leaf")
+
+
+def _leaf_join(pairs: DataFrame) -> DataFrame:
+    """a, b: pairs of points of two leaves (as, bs) that sizes and vectors allow."""
+
+    def opened(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = column.slice(i, 1).flatten()
+        return rows.field("p").to_numpy(), rows.field("n").to_numpy(), _vectors(rows.field("vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                pa_, na, va = opened(b.column("as"), i)
+                pb, nb, vb = opened(b.column("bs"), i)
+                # The leaf's own box first, then its points.
+                box, low, high = vb.max(0), nb.min(), nb.max()
+                out_a, out_b = [], []
+                for p, n, v in zip(pa_, na, va, strict=True):
+                    if 4 * n >= 3 * low and 4 * high >= 3 * n and 7 * int(np.minimum(v, box).sum(dtype=np.uint32)) >= 3 * (n + low):
+                        ok = may_overlap(v[None, :], vb, n, nb) & (4 * n >= 3 * nb) & (4 * nb >= 3 * n)
+                        out_a.append(np.full(int(ok.sum()), p))
+                        out_b.append(pb[ok])
+                if out_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, *, bucket_rows: int = 500_000, hot: int = 1_000_000, chunk: int = 2048, page: int = 64, stars: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs; 0.75, five words."""
     spark = docs.sparkSession
     first = stored(_sets(docs), "jaccard-sets")
@@ -286,28 +332,35 @@ def jaccard_components(docs: DataFrame, *, bucket_rows: int = 500_000, hot: int
     points = first.filter("grp IS NULL").select("doc_id", "n", "fp")
     buckets = int(max(64, load.sum() // 4 // bucket_rows))
     blocks = stored(_blocks(docs, load, buckets, hot), "jaccard-blocks")
-    # A star for each block and range of sizes within which all may link.
-    banded = blocks.withColumn("band", F.floor(F.log("n") / float(np.log(4 / 3))))
-    least = banded.groupBy("tok", "band").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z")
-    stars = stored(banded.join(least, ["tok", "band"]).filter("a < fp").select("a", F.col("fp").alias("b")).distinct(), "jaccard-stars")
     involved = blocks.select("fp").distinct()
     keepers = points.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(_points(docs, keepers.join(involved, "fp")), "jaccard-points")
-    links = stored(_verified(stars, sets), "jaccard-links")
-    discard(stars)
-    families = components(links).withColumnRenamed("node", "fp").withColumnRenamed("label", "family")
-    families = stored(sets.select("fp").join(families, "fp", "left").select("fp", F.coalesce("family", "fp").alias("family")), "jaccard-families")
+    families, links = sets.select("fp", F.col("fp").alias("family")), None
+    for turn in range(stars):
+        new = stored(_verified(stored(_stars(blocks, families, turn), "jaccard-stars"), sets), "jaccard-links")
+        if turn and not new.limit(1).count():
+            break
+        links = new if links is None else links.union(new)
+        labels = components(links).withColumnRenamed("node", "fp").withColumnRenamed("label", "family")
+        families = stored(sets.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("family", "fp").alias("family")), "jaccard-families")
 
     members = sets.select("fp", "n", "vec").join(families, "fp")
     nodes = stored(_nodes(members), "jaccard-nodes")
     near = stored(_families_that_may_link(blocks, families, nodes, chunk), "jaccard-near")
     discard(blocks)
     if near.limit(1).count():
-        side = lambda s: nodes.select(F.col("family").alias("d" if s == "b" else "c"), F.col("least").alias(f"n_{s}"), F.col("most").alias(f"most_{s}"), F.col("vec").alias(f"vec_{s}"))
-        point = lambda s: members.select(F.col("family").alias("d" if s == "b" else "c"), F.col("fp").alias(s), F.col("n").alias(f"n_{s}"), F.col("n").alias(f"most_{s}"), F.col("vec").alias(f"vec_{s}"))
-        down = stored(_bounded(near.join(point("a"), "c").join(side("b"), "d"), "a,d"), "jaccard-down")
-        pairs = _bounded(down.join(members.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("n").alias("most_a"), F.col("vec").alias("vec_a")), "a").join(point("b"), "d"), "a,b")
-        more = stored(_verified(stored(pairs, "jaccard-pairs"), sets), "jaccard-links")
+        # Points of the smaller family go down to the other's box, then to its leaves.
+        sized = nodes.select("family", "members")
+        near = near.join(sized.select(F.col("family").alias("c"), F.col("members").alias("mc")), "c").join(sized.select(F.col("family").alias("d"), F.col("members").alias("md")), "d")
+        near = near.select(F.when(F.col("mc") <= F.col("md"), F.col("c")).otherwise(F.col("d")).alias("c"), F.when(F.col("mc") <= F.col("md"), F.col("d")).otherwise(F.col("c")).alias("d"))
+        point = members.select(F.col("family").alias("c"), F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("n").alias("most_a"), F.col("vec").alias("vec_a"))
+        box = nodes.select(F.col("family").alias("d"), F.col("least").alias("n_b"), F.col("most").alias("most_b"), F.col("vec").alias("vec_b"))
+        down = stored(_bounded(near.join(point, "c").join(box, "d"), "a,n_a,vec_a,d"), "jaccard-down")
+        asking = _leaves(down.select("d", F.col("a").alias("p"), F.col("n_a").alias("n"), F.col("vec_a").alias("vec")), "d", page)
+        asked = _leaves(members.join(down.select(F.col("d").alias("family")).distinct(), "family").select(F.col("family").alias("d"), F.col("fp").alias("p"), "n", "vec"), "d", page)
+        pairs = _leaf_join(asking.withColumnRenamed("leaf", "as").join(asked.withColumnRenamed("leaf", "bs"), "d"))
+        pairs = stored(pairs, "jaccard-pairs")
+        more = stored(_verified(pairs, sets), "jaccard-links")
         if more.limit(1).count():
             links = links.union(more)
             families = components(links).withColumnRenamed("node", "fp").withColumnRenamed("label", "family")
