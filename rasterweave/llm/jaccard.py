@@ -335,14 +335,15 @@ def jaccard_components(docs: DataFrame, *, bucket_rows: int = 500_000, hot: int
     involved = blocks.select("fp").distinct()
     keepers = points.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(_points(docs, keepers.join(involved, "fp")), "jaccard-points")
-    families, links = sets.select("fp", F.col("fp").alias("family")), None
+    alone = sets.select("fp").distinct()  # a doc_id may stand in several rows
+    families, links = alone.select("fp", F.col("fp").alias("family")), None
     for turn in range(stars):
         new = stored(_verified(stored(_stars(blocks, families, turn), "jaccard-stars"), sets), "jaccard-links")
         if turn and not new.limit(1).count():
             break
         links = new if links is None else links.union(new)
         labels = components(links).withColumnRenamed("node", "fp").withColumnRenamed("label", "family")
-        families = stored(sets.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("family", "fp").alias("family")), "jaccard-families")
+        families = stored(alone.join(labels, "fp", "left").select("fp", F.coalesce("family", "fp").alias("family")), "jaccard-families")
 
     members = sets.select("fp", "n", "vec").join(families, "fp")
     nodes = stored(_nodes(members), "jaccard-nodes")

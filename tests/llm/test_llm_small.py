@@ -102,7 +102,7 @@ def key(rows):
     return Counter(tuple(r) for r in rows)
 
 
-@pytest.mark.parametrize("how", [{}, {"hot": 40, "chunk": 3, "bucket_rows": 50}])
+@pytest.mark.parametrize("how", [{}, {"hot": 40, "chunk": 3, "bucket_rows": 50, "page": 2, "stars": 1}])
 def test_components_equal_brute_force(spark, how):
     rows = jaccard_rows()
     got = jaccard.jaccard_components(documents(spark, rows, extra=True).repartition(3), **how)
