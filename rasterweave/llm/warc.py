@@ -48,11 +48,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("payload"), pa.array([base32_sha1(x) for x in data])], ["page_id", "url", "payload", "digest"])
 
 
-def write_warc(pages: DataFrame, path: str, *, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write page_id, url, payload (binary or string) of every row to path."""
+def write_warc(pages: DataFrame, path: str, *, least: int = 0, date: str = "2024-01-01T00:00:00Z", most_broadcast: int = 100_000) -> None:
+    """Write page_id, url, payload (binary or string) of every row to path.
+
+    Payloads that occur more than once are looked up by digest: by a broadcast
+    table while there are at most ``most_broadcast`` of them (about 10 MB), which
+    leaves payloads where they are, and by a shuffled join beyond."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.regexp_replace("url", r"[\x00-\x20]", "%20"), F.lit("urn:none")).alias("url"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.mapInArrow(_digests, "page_id long, url string, payload binary, digest string").withColumn("bytes", F.octet_length("payload"))
-    firsts = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    firsts = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    firsts = stored(firsts.filter("n > 1").drop("n"), "warc-repeated")
+    firsts = F.broadcast(firsts) if firsts.count() <= most_broadcast else firsts
     rows = rows.join(firsts.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))

@@ -220,13 +220,13 @@ def warc_rows():
     return rows
 
 
-@pytest.mark.parametrize("split", ["128m", "700b"])
-def test_warc_round_trip(spark, tmp_path, split):
+@pytest.mark.parametrize("split,most", [("128m", 100), ("700b", 0)])
+def test_warc_round_trip(spark, tmp_path, split, most):
     rows = warc_rows()
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        warc.write_warc(pages(spark, rows).coalesce(2), f"file://{tmp_path}/w")
+        warc.write_warc(pages(spark, rows).coalesce(2), f"file://{tmp_path}/w", most_broadcast=most)
         got = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
