@@ -192,6 +192,9 @@ def with_surrogates(docs: DataFrame, key: str = "rotate-this-key") -> DataFrame:
     parts = F.split("text", ANY, -1)
     text = F.concat(parts[0], F.array_join(F.zip_with(F.col("__new"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda e, p: F.concat(e["surrogate"], p)), ""))
     none = F.array().cast("array<struct<kind:string,surrogate:string>>")
-    joined = docs.withColumn("__row", F.when(hint, row)).join(each, "__row", "left")
+    joined = docs.filter(hint).withColumn("__row", row).join(each, "__row", "left")
     columns = [F.when(F.col("__new").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size("__new"), F.lit(0)).cast("int").alias("n_entities"), F.coalesce(entities, none).alias("entities"))
+    replaced = joined.select(*columns, F.coalesce(F.size("__new"), F.lit(0)).cast("int").alias("n_entities"), F.coalesce(entities, none).alias("entities"))
+    # Rows that cannot hold an entity take no part in the join.
+    rest = docs.filter(~hint).select("*", F.lit(0).alias("n_entities"), none.alias("entities"))
+    return replaced.unionByName(rest)
