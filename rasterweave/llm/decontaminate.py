@@ -1,17 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Words (runs of letters and digits, lower-cased) of all documents are scanned
    for the n-grams of the test items, a block of items at a time: what is
    broadcast is bounded by ``block_grams``, and more items mean more scans.
-   Around each group of hits of one item the passage is kept, as places of its
-   words in the block's vocabulary.
-2. Document frequencies of the items' n-grams over all documents decide which of
-   them are seeds: in every run of ``gap`` neighbouring n-grams of an item, the
-   rarest.  So every stretch of n + gap - 1 unchanged words holds a seed, however
-   often the passage was copied.
-3. Passages with a seed join their item and are aligned (match 2, mismatch and
-   gap -1).  A pair is a leak when the alignment reaches ``least`` of the score
-   of the whole item, or holds ``run`` matching words at 80 % of its length.
+   Every n-gram of an item is a seed, so every stretch of n unchanged words holds
+   one.  Around each group of hits of one item the passage is kept, as places of
+   its words in the block's vocabulary, as wide as a leak with that hit can be.
+2. Passages that share too few words with their item for any alignment to count
+   are dropped; no leak is lost by this bound.
+3. The others are aligned (match 2, mismatch and gap -1).  A pair is a leak when
+   the alignment reaches ``least`` of the score of the whole item, or holds
+   ``run`` matching words at 80 % of its length.
+
+A copy edited so often that no n words in a row are left unchanged has no hit and
+is not seen, even where its alignment would reach ``least``.
 
 Defined cases: null or empty texts and items without words match nothing; items
 with fewer than n words are matched as a whole by their own length; repeated
@@ -21,18 +23,20 @@ A null item_id or doc_id is carried as null.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 TERM = re.compile(r"[^\W_]+")
-PASSAGE = "row long, doc_id long, item int, grams array<int>, start int, words array<int>"
+PASSAGE = "row long, doc_id long, item int, start int, words array<int>"
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
@@ -73,6 +77,7 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in TERM.findall(t.lower())], np.int64) for _, t in items]
         self.grams: dict[tuple, int] = {}
+        self.counts = [np.unique(w, return_counts=True) for w in self.words]
         self.places: list[list[tuple[int, int]]] = []
         for i, w in enumerate(self.words):
             size = min(n, len(w))
@@ -110,10 +115,15 @@ class Items:
                         out.append((g, int(at[j])))
         return sorted(out, key=lambda x: x[1])
 
+    def most(self, item: int, words: np.ndarray) -> int:
+        """No alignment of the item with words has more matches than this."""
+        kinds, counts = self.counts[item]
+        there = np.sort(words)
+        return int(np.minimum(there.searchsorted(kinds, "right") - there.searchsorted(kinds), counts).sum())
 
-def _passages(docs: DataFrame, block: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("grams", pa.list_(pa.int32())), ("start", pa.int32()), ("words", pa.list_(pa.int32()))])
+
+def _passages(docs: DataFrame, shared: Broadcast[Items], least: float, run: int) -> DataFrame:
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("start", pa.int32()), ("words", pa.list_(pa.int32()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -131,36 +141,27 @@ def _passages(docs: DataFrame, block: Items) -> DataFrame:
                     for g, at in own.hits(words):
                         for item, place in own.places[g]:
                             size = len(own.words[item])
-                            lo, hi = at - place - size // 4 - 2, at - place + size + size // 4 + 2
+                            # With d words put in, a leak's score is 2 * size - d at most.
+                            margin = max(size // 4, math.ceil(2 * (1 - least) * size)) + 2
+                            lo, hi = at - place - margin, at - place + size + margin
                             of = groups.setdefault(item, [])
                             if of and lo <= of[-1][1]:
                                 # Hits far apart are other passages: a passage is at most 4 items long.
                                 if hi - of[-1][0] <= 4 * size + 16:
                                     of[-1][0], of[-1][1] = min(lo, of[-1][0]), max(hi, of[-1][1])
-                                    of[-1][2].add(g)
                                     continue
-                            of.append([lo, hi, {g}])
+                            of.append([lo, hi])
                     for item, found in groups.items():
-                        for lo, hi, grams in found:
+                        for lo, hi in found:
                             lo, hi = max(0, lo), min(len(words), hi)
-                            rows.append((row, doc, item, sorted(grams), lo, words[lo:hi].tolist()))
+                            if own.most(item, words[lo:hi]) >= min(least * len(own.words[item]), run):
+                                rows.append((row, doc, item, lo, words[lo:hi].tolist()))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
     return docs.mapInArrow(scan, PASSAGE)
 
 
-def seeds(block: Items, frequency: dict[int, int], gap: int) -> set[int]:
-    """In every run of gap neighbouring n-grams of an item the rarest one."""
-    out: set[int] = set()
-    for w in block.words:
-        size = min(block.n, len(w))
-        own = [block.grams[tuple(w[at : at + size].tolist())] for at in range(len(w) - size + 1 if size else 0)]
-        for at in range(max(1, len(own) - gap + 1) if own else 0):
-            out.add(min(own[at : at + gap], key=lambda g: frequency.get(g, 0)))
-    return out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, gap: int = 4, least: float = 0.5, run: int = 20, block_grams: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, run: int = 20, block_grams: int = 500_000) -> DataFrame:
     """doc_id, item_id, score (share of the item's own score), matched (words),
     start, end (in words of the document) of every leak, the best a document row
     and item."""
@@ -169,19 +170,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, gap: int
     rows = docs.select(key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in item_blocks(benchmark, n, block_grams):
-        found = stored(_passages(rows, block), "leaks")
-        counted = found.select("row", F.explode("grams").alias("g")).distinct().groupBy("g").count()
-        frequency = {r["g"]: r["count"] for r in counted.collect()}  # block_grams rows at most
-        rare = spark.sparkContext.broadcast((block, seeds(block, frequency, gap)))
+        shared = spark.sparkContext.broadcast(block)
 
-        def judge(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
-            own, chosen = rare.value
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
             kinds = [("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("item", pa.int32()), ("score", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
             for b in batches:
                 kept = []
                 for r in b.to_pylist():
-                    if chosen.isdisjoint(r["grams"]):
-                        continue
                     item = own.words[r["item"]]
                     score, matched, start, end = align(item, np.array(r["words"], np.int64))
                     share = score / (2 * len(item))
@@ -189,7 +185,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, gap: int
                         kept.append((r["row"], r["doc_id"], own.ids[r["item"]], r["item"], share, matched, r["start"] + start, r["start"] + end))
                 yield pa.RecordBatch.from_pylist([dict(zip([x for x, _ in kinds], r, strict=True)) for r in kept], schema=pa.schema(kinds))
 
-        leaks = found.mapInArrow(judge, "row long, doc_id long, item_id long, item int, score double, matched int, start int, end int")
+        found = _passages(rows, shared, least, run)
+        leaks = stored(found.mapInArrow(judge, "row long, doc_id long, item_id long, item int, score double, matched int, start int, end int"), "leaks")
+        shared.unpersist()
         out = leaks if out is None else out.union(leaks)
     if out is None:
         return spark.createDataFrame([], "row long, doc_id long, item_id long, score double, matched int, start int, end int")

@@ -341,6 +341,25 @@ def test_leaks_and_near_leaks(spark):
     assert decontaminate.contaminated(documents(spark, []), bench).count() == 0
 
 
+def test_evenly_edited_leaks_are_found(spark):
+    rng = np.random.default_rng(21)
+    items = {i: words(rng, n, 3000).split() for i, n in enumerate((15, 24, 37, 59))}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows, want = [], set()
+    for i, w in items.items():
+        for copy in range(8):
+            # One word replaced in every 4 to 6; the other words of the items in no other document.
+            step = 4 + copy % 3
+            for at in range(step):
+                rows.append((len(rows), f"{words(rng, 80)} {' '.join('zz' if k % step == at else x for k, x in enumerate(w))} {words(rng, 80)}", "s"))
+                want.add((rows[-1][0], i))
+        # Three words unchanged, then a word put in before every other.
+        rows.append((len(rows), f"{words(rng, 80)} {' '.join(x if k < 3 else 'zz ' + x for k, x in enumerate(w))}", "s"))
+        want.add((rows[-1][0], i))
+    got = decontaminate.contaminated(documents(spark, rows), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def plain_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
