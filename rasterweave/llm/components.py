@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels with shortcuts."""
+"""Connected components of an edge table, by alternating stars."""
 
 from __future__ import annotations
 
@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) for every node in a, b of edges.
 
-    A round takes the least label among a node's neighbours, then the label of
-    its label.  All sums are partial before they are shuffled, so a node with
-    very many edges is no task's burden alone; the table of labels is written to
-    the shared folder each round.
+    A round hooks the larger neighbours of each node onto its least neighbour
+    (large star), then the smaller ones and the node itself (small star), until
+    every component is a star.  Rounds grow with the square of the logarithm of
+    the nodes at most, whatever a component's diameter, so they need no cap.  All
+    minima are partial before they are shuffled, so a node with very many edges is
+    no task's burden alone; the edges are written to the shared folder each round.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        new = stored(step.join(jump, "next").select("node", F.least("next", "further").alias("label"), (F.col("label") != F.least("next", "further")).alias("moved")), "cc")
-        discard(labels)
-        moved = new.filter("moved").limit(1).count()
-        labels = new.drop("moved")
-        if not moved:
-            return labels
-    raise RuntimeError(f"no components after {most_rounds} rounds")
+    nodes = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).filter("node IS NOT NULL").distinct(), "cc-nodes")
+    # a > b from here on.
+    links = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    while True:
+        least = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.first("a")).alias("least"))
+        large = stored(links.join(least, "b").select("a", F.col("least").alias("b")).distinct(), "cc")
+        discard(links)
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        small = large.join(least, "a").filter("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        links = stored(small.union(least.select("a", F.col("least").alias("b"))).distinct(), "cc")
+        discard(large)
+        # Stars: no node has two roots, and no root is hooked.
+        twice = links.groupBy("a").count().filter("count > 1").select("a")
+        if not twice.union(links.select("b").join(links.select(F.col("a").alias("b")), "b", "left_semi")).limit(1).count():
+            return nodes.join(links.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("label"))

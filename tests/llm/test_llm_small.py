@@ -132,6 +132,13 @@ def test_component_labels_of_a_long_chain(spark):
     assert {got[i] for i in range(61)} == {0} and got[150] == 100
 
 
+def test_component_labels_of_thousands_in_random_order(spark):
+    ids = np.random.default_rng(22).permutation(3000).tolist()
+    chain = spark.createDataFrame([(a, b) for a, b in zip(ids[:-1], ids[1:], strict=True)] + [(5000, 5000), (7000, 6000), (6000, 7000)], "a long, b long")
+    assert dict(components(chain).collect()) == {i: 0 for i in ids} | {5000: 5000, 6000: 6000, 7000: 6000}
+    assert components(chain.limit(0)).count() == 0
+
+
 # Mixing -----------------------------------------------------------------------
 
 
