@@ -26,9 +26,9 @@ joins, pre-aggregated, salted (tokens of heavy groups) or cut into chunks of
 bounded size, so none is collected in one task.
 
 Defined cases: null or empty texts and texts without words have no shingle and
-their own doc_id as component; repeated rows each count, a null doc_id takes the
-component of its equals or stays null; an empty table gives an empty result.
-Fingerprints and tokens
+their own doc_id as component; repeated rows each count, a null doc_id links like
+any other and takes the component of its links, or stays null where no id is
+among them; an empty table gives an empty result.  Fingerprints, row keys and tokens
 have 64 bits; sets of two documents are compared by 48 of them.
 """
 
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored, text_bytes
@@ -53,9 +53,14 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
+def _row() -> Column:
+    """Of id and text, so that null ids differ by their texts."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp of every row; and rows of (grp, load) without doc."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("grp", pa.int32()), ("load", pa.int64())])
+    """doc_id, row, n, fp of every row; and rows of (grp, load) without doc."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("grp", pa.int32()), ("load", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = np.zeros(LOADS, np.int64)
@@ -68,13 +73,13 @@ def _sets(docs: DataFrame) -> DataFrame:
                 load += np.bincount((t >> np.uint64(48)).astype(np.int64), minlength=LOADS) if len(t) > 4096 else 0
                 if len(t) <= 4096:
                     np.add.at(load, (t >> np.uint64(48)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], schema=schema)
         full = np.flatnonzero(load)
         for i in range(0, len(full), 8192):
             part = full[i : i + 8192]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64())] * 3 + [pa.array(part.astype(np.int32)), pa.array(load[part])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64())] * 4 + [pa.array(part.astype(np.int32)), pa.array(load[part])], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp long, grp int, load long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(), "text").mapInArrow(run, "doc_id long, row long, n long, fp long, grp int, load long")
 
 
 def _blocks(docs: DataFrame, load: np.ndarray, buckets: int, hot: int) -> DataFrame:
@@ -128,7 +133,7 @@ def _blocks(docs: DataFrame, load: np.ndarray, buckets: int, hot: int) -> DataFr
 
 
 def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp, n, vec, toks of the points in wanted (doc_id, fp)."""
+    """fp, n, vec, toks of the points in wanted (row, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,11 +141,12 @@ def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 b, rows = whole.slice(at, 1000), []
                 for x, fp in zip(text_bytes(b.column("text")), b.column("fp").to_pylist(), strict=True):
                     t = shingle_set(x)
-                    if len(t) and fingerprint(t) == fp:  # another row may share the doc_id
+                    if len(t) and fingerprint(t) == fp:  # rows are known by a hash
                         rows.append((fp, len(t), count_vector(t).tobytes(), packed(t)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["fp", "n", "vec", "toks"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "fp long, n long, vec binary, toks binary")
+    rows = docs.select(_row(), "text").join(wanted, "row").dropDuplicates(["row"])
+    return rows.select("text", "fp").mapInArrow(run, "fp long, n long, vec binary, toks binary")
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -329,13 +335,13 @@ def jaccard_components(docs: DataFrame, *, bucket_rows: int = 500_000, hot: int
     load = np.zeros(LOADS, np.int64)
     for r in first.filter("grp IS NOT NULL").groupBy("grp").agg(F.sum("load")).collect():
         load[r[0]] = r[1]
-    points = first.filter("grp IS NULL").select("doc_id", "n", "fp")
+    points = first.filter("grp IS NULL").select("doc_id", "row", "n", "fp")
     buckets = int(max(64, load.sum() // 4 // bucket_rows))
     blocks = stored(_blocks(docs, load, buckets, hot), "jaccard-blocks")
     involved = blocks.select("fp").distinct()
-    keepers = points.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    keepers = points.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("row").alias("row"))
     sets = stored(_points(docs, keepers.join(involved, "fp")), "jaccard-points")
-    alone = sets.select("fp").distinct()  # a doc_id may stand in several rows
+    alone = sets.select("fp").distinct()
     families, links = alone.select("fp", F.col("fp").alias("family")), None
     for turn in range(stars):
         new = stored(_verified(stored(_stars(blocks, families, turn), "jaccard-stars"), sets), "jaccard-links")

@@ -109,6 +109,16 @@ def test_components_equal_brute_force(spark, how):
     assert key(got.collect()) == brute_components(rows)
 
 
+def test_rows_without_id_carry_links(spark):
+    w = [f"n{i}" for i in range(60)]
+    # Neighbours link, the first and the last do not; two null rows in between.
+    rows = [(1, " ".join(w), "s"), (None, " ".join(w[5:] + ["x1", "x2"]), "s"), (None, " ".join(w[10:] + ["x1", "x2", "x3", "x4"]), "s"), (2, " ".join(w[15:] + [f"x{i}" for i in range(1, 7)]), "s")]
+    rows += [rows[1], (None, "another text of six words here", "s")]
+    want = brute_components(rows)
+    assert want[(2, 47, 1)] == 1 and len(want) == 5
+    assert key(jaccard.jaccard_components(documents(spark, rows)).collect()) == want
+
+
 def test_one_of_each_keeps_the_least(spark):
     rows = jaccard_rows()
     want = {d for d, n, c in brute_components(rows) if n == 0 or d == c}
