@@ -61,17 +61,17 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<i4")
             cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
             if len(cut) == len(part) + 1 and cut[-1] == len(ids):
-                self.known.update(zip(part, (ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)), strict=True))
+                out.update(zip(part, (ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)), strict=True))
             else:
-                self.known.update((p, self.whole(p)) for p in part)
+                out.update((p, self.whole(p)) for p in part)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -79,13 +79,13 @@ class Encoder:
         cut = [None if _WHOLE.search(t) else _PIECE.findall(t.lower()) for t in texts]
         out = []
         for at in range(0, len(cut), 64):
-            new = set().union(*(c for c in cut[at : at + 64] if c)).difference(self.known)
-            if new:
-                before = len(self.known)
-                self.learn(sorted(new))
-                if len(self.known) < before + len(new):  # it started afresh
-                    self.learn(sorted(set().union(*(c for c in cut[at : at + 64] if c)).difference(self.known)))
-            get = self.known.__getitem__
+            new = self.learn(sorted(set().union(*(c for c in cut[at : at + 64] if c)).difference(self.known)))
+            if len(self.known) + len(new) <= REMEMBERED:
+                self.known.update(new)
+                get = self.known.__getitem__
+            else:  # start afresh, but not within a group: it needs old and new ones
+                get = (self.known | new).__getitem__
+                self.known = new if len(new) <= REMEMBERED else {}
             out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at : at + 64], cut[at : at + 64], strict=True)]
         return out
 

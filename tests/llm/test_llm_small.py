@@ -335,6 +335,18 @@ def test_tokens_round_trip(spark):
     assert tokens.tokens_round_trip(documents(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 5, 60, 400])
+def test_groups_with_more_pieces_than_are_remembered(monkeypatch, most):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokens, "REMEMBERED", most)
+    own = tokens.Encoder(P.path("word_bpe_49k.json"), True)
+    rng = np.random.default_rng(23)
+    for size in (3, 500, 2, 40, 500):  # a warm encoder from the second on
+        texts = [words(rng, size, 3000).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(70)]
+        assert own.encode(texts) == [own.whole(x) for x in texts]
+        assert len(own.known) <= most
+
+
 # Decontamination --------------------------------------------------------------------
 
 
