@@ -450,6 +450,17 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert toxicity.score_toxicity(docs, none).agg(F.max("tox_score")).first()[0] == 0
 
 
+def test_toxicity_marks_no_clean_sentence_beside_the_planted_one(spark):
+    docs, labels = labelled(spark)
+    docs = docs.withColumn("text", F.concat("text", F.lit(". the end")))  # in toxic and other documents
+    model = toxicity.fit_toxicity(docs, labels, F.col("doc_id") % 2 == 0)
+    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model, spans=True).collect()}
+    for i in (4, 8, 16):
+        spans = rows[i]["tox_spans"]
+        assert spans and all("you " in rows[i]["text"][s["start"] : s["end"]] for s in spans)
+        assert not any("the end" in rows[i]["text"][s["start"] : s["end"]] for s in spans)
+
+
 # Personal data -----------------------------------------------------------------------------
 
 
