@@ -6,12 +6,16 @@ document frequency, and reduced by a singular value decomposition.  The sample's
 vectors (``sample`` x ``rank`` numbers, a fixed bound) are broadcast.  Every
 document, over its whole text, is projected into the same space; exact cosines
 to all labelled vectors come from one matrix product a block, and the labels of
-the ``k`` nearest are averaged with their cosines to the power ``sharpness``.
+the ``k`` nearest are averaged with their cosines to the power ``sharpness``, the
+rarer label's by more (its share to the power ``-balance``).
 
 Defined cases: a null or empty text, or one without any known feature, gets the
-share of good labels in the balanced sample (0.5, or the only label there is);
-without any label every score is 0.5.  Labels that are null are not learned
-from; among rows that share a doc_id each is scored by its own text.
+score 0.5 (or the only label there is); without any label every score is 0.5.  Labels that are null, and of a doc_id
+whose labels disagree, are not learned from; where rows share a doc_id one text
+of theirs (the first by a hash) is learned from and each is scored by its own;
+of neighbours at equal cosine those of the least doc_id vote.  Only doc_id and
+text are read, so other columns clash with nothing; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -66,20 +70,28 @@ def features(text: bytes) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, a_class: int) -> DataFrame:
     """doc_id, text, label of at most a_class documents of each of two classes,
-    the first by a hash of doc_id."""
-    chosen = labels.filter(usable & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    the first by a hash of doc_id.  Ids whose labels disagree are left out; of
+    rows that share an id, the text that is first by its hash is taken."""
+    one = F.col(label).cast("int")
+    said = labels.filter(usable & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(one).alias("label"), F.max(one).alias("other"))
+    chosen = said.filter("label = other AND doc_id IS NOT NULL").select("doc_id", "label")
     order = F.xxhash64(F.lit(label), "doc_id")
     parts = [chosen.filter(F.col("label") == y).orderBy(order, "doc_id").limit(a_class) for y in (0, 1)]
     # Bounded: 2 x a_class ids.
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 class Space:
     """What a fit on (features, labels) leaves: small arrays only."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int, k: int, sharpness: float) -> None:
-        self.k, self.sharpness, self.prior = k, sharpness, float(labels.mean()) if len(labels) else 0.5
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int, k: int, sharpness: float, balance: float) -> None:
+        self.k, self.sharpness = k, sharpness
         self.labels = labels.astype(np.float32)
+        # The rarer label's votes weigh more, by a power of its share.
+        share = np.array([1 - self.labels.mean(), self.labels.mean()]) if len(labels) else np.ones(2)
+        self.worth = (np.maximum(share, 1e-9) ** -balance)[labels.astype(int)].astype(np.float32)
+        self.prior = 0.5 if share.min() > 0 else float(share[1] > 0)
         self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 0.1
         x = self.weigh(counts)
         values, vectors = np.linalg.eigh(x.T @ x)
@@ -98,14 +110,17 @@ class Space:
             return np.full(len(counts), 0.5)
         cosine = self.unit(self.weigh(counts) @ self.basis) @ self.known.T
         k = min(self.k, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** self.sharpness
-        total = weight.sum(1)
-        vote = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
-        return np.where(total > 1e-9, vote, self.prior).astype(float)
+        kth = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        # All that are as near as the k-th vote, so that ties need no order.
+        weight, near = np.zeros_like(cosine), (cosine >= kth) & (cosine > 0)
+        weight[near] = cosine[near] ** self.sharpness
+        weight *= self.worth
+        total = weight.sum(1, dtype=np.float64)
+        vote = (weight @ self.labels) / np.maximum(total, 1e-12)
+        return np.clip(np.where(total > 1e-9, vote, self.prior), 0, 1).astype(float)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", sample: int = 4000, rank: int = 64, k: int = 15, sharpness: float = 8.0) -> Space:
+def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", sample: int = 4000, rank: int = 64, k: int = 15, sharpness: float = 8.0, balance: float = 0.5) -> Space:
     """Fit on at most ``sample`` labelled documents; only their counts, of fixed
     length, come to the driver."""
 
@@ -113,9 +128,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, *, label: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([features(x).tobytes() for x in text_bytes(b.column("text"))], pa.binary())], ["label", "counts"])
 
-    rows = labelled_sample(docs, labels, label, usable, sample // 2).mapInArrow(counted, "label int, counts binary").limit(sample).collect()
+    rows = labelled_sample(docs, labels, label, usable, sample // 2).mapInArrow(counted, "label int, counts binary").collect()
     counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows]).reshape(len(rows), PAIRS + MARKS)
-    return Space(counts, np.array([r["label"] for r in rows]), rank, k, sharpness)
+    return Space(counts, np.array([r["label"] for r in rows]), rank, k, sharpness, balance)
 
 
 def score_quality(docs: DataFrame, space: Space) -> DataFrame:
