@@ -69,3 +69,9 @@ def convert(df: DataFrame, source: str, target: str) -> DataFrame:
     old, new = CHANNELS[source], CHANNELS[target]
     out = CONVERSIONS[source, target]([F.col(c) for c in old])
     return df.select(*[c for c in df.columns if c not in old], *[c.cast("int").alias(n) for c, n in zip(out, new, strict=True)])
+
+
+def colour(label: Column) -> list[Column]:
+    """A repeatable colour of a label: c0, c1, c2."""
+    mixed = F.pmod(F.pmod(label, F.lit(16_777_213)) * 2_654_435, F.lit(16_777_213))
+    return [F.pmod(F.shiftright(mixed, 8 * i), F.lit(256)).cast("int").alias(f"c{i}") for i in range(3)]

@@ -2,7 +2,7 @@
 
 Rows are collapsed into runs.  Bands of rows are labelled on their own, in
 parallel; only runs on both sides of a band's end remain to be merged, by
-minimum labels with shortcuts over a table that is small next to the image.  A
+least labels over a table that is small next to the image.  A
 component's label is its least pixel, y * 2**32 + x.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.color import colour
 from ..session import cut
 from .point import columns_of, rows_of
 
@@ -37,40 +38,52 @@ def runs(df: DataFrame, channels: tuple[str, ...] = ("v",)) -> DataFrame:
     return out.select("img", "y", "x1", "x2", key.alias("key"), (F.col("y").cast("long") * ROW + F.col("x1")).alias("id"))
 
 
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least node of the component of each of n nodes, of edges a[i] - b[i]: roots
+    are hooked onto lesser roots, all at once, and paths are halved."""
+    root = np.arange(n)
+    while len(a):
+        ra, rb = root[a], root[b]
+        open_ = ra != rb
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def _band(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over the runs of one band."""
+    """Labels of the runs of one band: in order, the runs of the next row that a
+    run touches are a stretch, found by two searches for all runs together."""
     pdf = pdf.sort_values("id", ignore_index=True)
-    y, x1, x2, key = pdf["y"].to_numpy(), pdf["x1"].to_numpy(), pdf["x2"].to_numpy(), pdf["key"].to_numpy()
-    parent = np.arange(len(pdf))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    first = {int(r): int(i) for r, i in zip(*np.unique(y, return_index=True), strict=True)}
-    for row, at in first.items():
-        i, j = first.get(row - 1), at
-        if i is None:
-            continue
-        while i < at and j < len(pdf) and y[j] == row:
-            if x1[i] <= x2[j] and x1[j] <= x2[i] and key[i] == key[j]:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-            if x2[i] < x2[j]:
-                i += 1
-            else:
-                j += 1
-    ids = pdf["id"].to_numpy()
-    return pdf.assign(part=[int(ids[find(i)]) for i in range(len(pdf))])
-
-
-def merge_labels(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """img, node, label: least node of the component, for nodes of pairs (img, a, b)."""
-    both = cut(pairs.select("img", "a", "b").union(pairs.select("img", "b", "a")).distinct())
+    y, x1, x2 = (pdf[c].to_numpy(np.int64) for c in ("y", "x1", "x2"))
+    key = pd.factorize(pdf["key"])[0]
+    lo = np.searchsorted(y * ROW + x2, (y + 1) * ROW + x1)
+    hi = np.searchsorted(y * ROW + x1, (y + 1) * ROW + x2, side="right")
+    count = np.maximum(hi - lo, 0)
+    i = np.repeat(np.arange(len(pdf)), count)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+    like = key[i] == key[j]
+    return pdf.assign(part=pdf["id"].to_numpy()[least_labels(i[like], j[like], len(pdf))])
+
+
+def _image_labels(pdf: pd.DataFrame) -> pd.DataFrame:
+    nodes, at = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+    at = at.reshape(-1, 2)
+    return pd.DataFrame({"img": pdf["img"].iloc[0], "node": nodes, "label": nodes[least_labels(at[:, 0], at[:, 1], len(nodes))]})
+
+
+def merge_labels(pairs: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """img, node, label: least node of the component, for nodes of pairs (img, a, b).
+
+    Up to ``small`` pairs are merged image by image in single tasks; more of them by
+    rounds of least labels with shortcuts, until no label moves."""
+    pairs = cut(pairs.select("img", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
+    if pairs.count() <= small:
+        return pairs.groupBy("img").applyInPandas(_image_labels, "img string, node long, label long")
+    both = cut(pairs.union(pairs.select("img", "b", "a")).distinct())
     labels = cut(both.groupBy("img", F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "a"), ["img", "a"]).groupBy("img", F.col("b").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, ["img", "node"]).select("img", "node", "label", F.least("label", "near").alias("next"))
         jump = step.select("img", F.col("node").alias("next"), F.col("next").alias("further"))
@@ -78,7 +91,6 @@ def merge_labels(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = new.drop("moved")
         if new.filter("moved").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def labelled_runs(df: DataFrame, channels: tuple[str, ...] = ("v",), band: int = 64) -> DataFrame:
@@ -114,10 +126,5 @@ def border(df: DataFrame, channels: tuple[str, ...] = ("v",)) -> DataFrame:
     return df.select("img", "y", "x", unlike.alias("is_border"))
 
 
-def colour(label: Column) -> list[Column]:
-    """A repeatable colour of a label."""
-    return [F.pmod(F.xxhash64(label, F.lit(i)), F.lit(256)).cast("int").alias(f"c{i}") for i in range(3)]
-
-
 def draw_components(df: DataFrame, channels: tuple[str, ...] = ("v",)) -> DataFrame:
     return component_labels(df, channels).select("img", "y", "x", *colour(F.col("label")))

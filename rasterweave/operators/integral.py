@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.stats import deviation, mean, variance
-from .point import columns_of, rows_of
+from .point import columns_of, rows_of, size
 
 
 def integral(df: DataFrame, channels: tuple[str, ...] = ("v",)) -> DataFrame:
@@ -34,20 +34,40 @@ def statistics(n: str = "n", s: str = "s", s2: str = "s2") -> list:
     return [mean(*c[:2]).alias("mean"), variance(*c).alias("variance"), deviation(*c).alias("deviation")]
 
 
-def rect_statistics(pixels: DataFrame, rects: DataFrame, tile: int = 64) -> DataFrame:
-    """n, s, s2, lo, hi, mean, variance, deviation of each rectangle
-    (img, rect, x, y, w, h) cut to its image; zeros where nothing is left.
+def rect_sums(pixels: DataFrame, rects: DataFrame) -> DataFrame:
+    """n, s, s2, mean, variance, deviation of each rectangle (img, rect, x, y, w, h)
+    cut to its image, zeros where nothing is left: four corners of the summed-area
+    table, whatever the rectangle's area."""
+    r = rects.join(size(pixels), "img").withColumns({
+        "__x1": F.greatest("x", F.lit(0)), "__y1": F.greatest("y", F.lit(0)),
+        "__x2": F.least(F.col("x") + F.col("w"), F.col("width")), "__y2": F.least(F.col("y") + F.col("h"), F.col("height")),
+    })
+    r = r.filter("w > 0 AND h > 0 AND __x2 > __x1 AND __y2 > __y1")
+    corner = lambda y, x, sign: F.struct((F.col(y) - 1).alias("y"), (F.col(x) - 1).alias("x"), F.lit(sign).alias("sign"))
+    corners = F.explode(F.array(corner("__y2", "__x2", 1), corner("__y1", "__x2", -1), corner("__y2", "__x1", -1), corner("__y1", "__x1", 1)))
+    area = ((F.col("__x2") - F.col("__x1")).cast("long") * (F.col("__y2") - F.col("__y1"))).alias("n")
+    # Corners beyond the upper and left border are 0 and need no look-up.
+    at = r.select("img", "rect", area, corners.alias("k")).select("img", "rect", "n", "k.y", "k.x", "k.sign").filter("y >= 0 AND x >= 0")
+    sums = at.join(integral(pixels), ["img", "y", "x"]).groupBy("img", "rect").agg(F.first("n").alias("n"), F.sum(F.col("sign") * F.col("i1")).alias("s"), F.sum(F.col("sign") * F.col("i2")).alias("s2"))
+    out = rects.join(sums, ["img", "rect"], "left").na.fill(0, ["n", "s", "s2"])
+    return out.select(*rects.columns, "n", "s", "s2", *statistics())
 
-    Rectangles are cut along tiles of the image and joined to pixels on the
-    tile, so that neither side is broadcast and no join is unbounded."""
+
+def rect_extremes(pixels: DataFrame, rects: DataFrame, tile: int = 64) -> DataFrame:
+    """lo, hi of each rectangle (img, rect, x, y, w, h) cut to its image; zeros where
+    nothing is left.  Rectangles are cut along tiles of the image; a tile that a
+    rectangle covers whole gives its own extremes, other tiles their pixels, so
+    that neither side is broadcast and no join is unbounded."""
     span = lambda at, n: F.sequence(F.floor(F.col(at) / tile).cast("int"), F.floor((F.col(at) + F.col(n) - 1) / tile).cast("int"))
-    cut = rects.filter("w > 0 AND h > 0").withColumn("tx", F.explode(span("x", "w"))).withColumn("ty", F.explode(span("y", "h")))
+    parts = rects.filter("w > 0 AND h > 0").withColumn("tx", F.explode(span("x", "w"))).withColumn("ty", F.explode(span("y", "h")))
+    inner = (F.col("x") <= F.col("tx") * tile) & (F.col("y") <= F.col("ty") * tile) & (F.col("x") + F.col("w") >= (F.col("tx") + 1) * tile) & (F.col("y") + F.col("h") >= (F.col("ty") + 1) * tile)
+    parts = parts.withColumn("inner", inner)
     px = pixels.select("img", F.col("x").alias("px"), F.col("y").alias("py"), "v", F.floor(F.col("x") / tile).cast("int").alias("tx"), F.floor(F.col("y") / tile).cast("int").alias("ty"))
-    hit = cut.join(px, ["img", "tx", "ty"]).filter("px >= x AND px < x + w AND py >= y AND py < y + h")
-    v = F.col("v").cast("long")
-    sums = hit.groupBy("img", "rect").agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("s2"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    out = rects.join(sums, ["img", "rect"], "left").na.fill(0, ["n", "s", "s2", "lo", "hi"])
-    return out.select(*rects.columns, "n", "s", "s2", "lo", "hi", *statistics())
+    whole = px.groupBy("img", "tx", "ty").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    tiles = parts.filter("inner").join(whole, ["img", "tx", "ty"]).select("img", "rect", "lo", "hi")
+    edge = parts.filter("NOT inner").join(px, ["img", "tx", "ty"]).filter("px >= x AND px < x + w AND py >= y AND py < y + h").select("img", "rect", F.col("v").alias("lo"), F.col("v").alias("hi"))
+    ends = tiles.union(edge).groupBy("img", "rect").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return rects.join(ends, ["img", "rect"], "left").na.fill(0, ["lo", "hi"]).select(*rects.columns, "lo", "hi")
 
 
 def spatial_rollup(df: DataFrame, sizes: tuple[int, ...] = (16, 8, 4)) -> DataFrame:

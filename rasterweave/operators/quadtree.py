@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.color import colour
 from ..functions.stats import deviation, fisher_signed, overlap, value_range
 from .edges import strip_contrast
-from .integral import rect_statistics, spatial_rollup, statistics
+from ..session import cut
+from .integral import rect_sums, spatial_rollup, statistics
 from .point import size
 
 SUMS = ("n", "s", "s2")
@@ -58,7 +60,7 @@ def neighbourhood(df: DataFrame, tree: int, multiplier: float) -> DataFrame:
     grow = int(multiplier * tree)
     r = placed(levels(df, tree, tree), df, tree)
     rects = r.select("img", (F.col("y").cast("long") * (1 << 32) + F.col("x")).alias("rect"), (F.col("x") - grow).alias("x"), (F.col("y") - grow).alias("y"), F.lit(tree + 2 * grow).alias("w"), F.lit(tree + 2 * grow).alias("h"))
-    out = rect_statistics(df, rects)
+    out = rect_sums(df, rects)
     return out.select("img", (F.col("y") + grow).alias("y"), (F.col("x") + grow).alias("x"), *SUMS, "mean", "variance", "deviation")
 
 
@@ -86,8 +88,9 @@ def by_overlap(alpha: float, limit: float) -> Test:
 
 def divide(df: DataFrame, largest: int, smallest: int, test: Test) -> DataFrame:
     """Leaves (img, size, y, x, n, s, s2): blocks that exist and are not divided.
-    As many steps as levels; all in one plan."""
-    every = levels(df, largest, smallest)
+    As many steps as levels; the blocks of all levels, a small table next to the
+    pixels, are summed and stored once."""
+    every = cut(levels(df, largest, smallest))
     here = every.filter(F.col("size") == largest)
     leaves, at = None, largest
     while at >= 2 * smallest:
@@ -129,14 +132,41 @@ def draw_means(df: DataFrame, leaves: DataFrame, largest: int, unit: int) -> Dat
     return px.join(cells, ["img", "cy", "cx"]).select("img", "y", "x", F.col("m").alias("v"))
 
 
+def draw_image(df: DataFrame, leaves: DataFrame, largest: int, unit: int, segments: bool = False, colours: bool = False) -> DataFrame:
+    """img, y, x, c0, c1, c2 of the whole image: the mean of each pixel's leaf, or
+    with segments that of its segment (leaves have segment), or with colours the
+    segment's colour; 0 where no leaf is."""
+    mean = F.col("s") / F.col("n")
+    if segments or colours:
+        sums = leaves.groupBy("img", "segment").agg(*[F.sum(c).alias(c) for c in SUMS])
+        leaves = leaves.drop(*SUMS).join(sums, ["img", "segment"])
+    paint = colour(F.col("segment")) if colours else [mean.cast("int").alias(f"c{i}") for i in range(3)]
+    cells = unit_cells(leaves, unit).select("img", "cy", "cx", *paint)
+    px = df.select("img", "y", "x").join(grid(df, largest).select("img", "dy", "dx"), "img")
+    px = px.select("img", "y", "x", *[(F.col(k) - F.pmod(F.col(k) - F.col(f"d{k}"), F.lit(unit))).alias(f"c{k}") for k in "yx"])
+    return px.join(cells, ["img", "cy", "cx"], "left").select("img", "y", "x", *[F.coalesce(F.col(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(3)])
+
+
+def highlight(rgb: DataFrame, leaves: DataFrame, wanted: DataFrame, largest: int, unit: int, paint: tuple[int, int, int]) -> DataFrame:
+    """rgb (img, y, x, c0, c1, c2) with one colour on all pixels of the wanted
+    segments (img, segment) of leaves (with segment)."""
+    mine = unit_cells(leaves.join(wanted.select("img", "segment"), ["img", "segment"], "left_semi"), unit).select("img", "cy", "cx", F.lit(True).alias("__in"))
+    px = rgb.join(grid(rgb, largest).select("img", "dy", "dx"), "img")
+    px = px.select(*rgb.columns, *[(F.col(k) - F.pmod(F.col(k) - F.col(f"d{k}"), F.lit(unit))).alias(f"c{k}") for k in "yx"])
+    out = px.join(mine, ["img", "cy", "cx"], "left")
+    return out.select("img", "y", "x", *[F.when(F.col("__in"), v).otherwise(F.col(f"c{i}")).alias(f"c{i}") for i, v in enumerate(paint)])
+
+
 def links8(df: DataFrame, tree: int) -> DataFrame:
     """img, ay, ax, by, bx, angle: undirected links of roots with their E, SE, S and
-    SW neighbours (pixel centres), angle in [0, 2 pi)."""
+    SW neighbours (upper left corners), angle of the way from a to b in [0, 2 pi):
+    0 to the east, counter-clockwise."""
     r = placed(levels(df, tree, tree), df, tree).select("img", "y", "x")
     ways = F.array(*[F.struct(F.lit(dy * tree).alias("dy"), F.lit(dx * tree).alias("dx")) for dy, dx in ((0, 1), (1, 1), (1, 0), (1, -1))])
     a = r.select("img", F.col("y").alias("ay"), F.col("x").alias("ax"), F.explode(ways).alias("o"))
     a = a.select("img", "ay", "ax", (F.col("ay") + F.col("o.dy")).alias("y"), (F.col("ax") + F.col("o.dx")).alias("x"), F.col("o.dy").alias("dy"), F.col("o.dx").alias("dx"))
-    angle = F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double"))
+    angle = F.atan2(-F.col("dy").cast("double"), F.col("dx").cast("double"))
+    angle = F.when(angle < 0, angle + 2 * 3.141592653589793).otherwise(F.abs(angle))
     return a.join(r, ["img", "y", "x"]).select("img", "ay", "ax", F.col("y").alias("by"), F.col("x").alias("bx"), angle.alias("angle"))
 
 

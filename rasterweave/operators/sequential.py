@@ -12,7 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..session import cut
+from .grids import boundaries, chain_links
+
+#: Eight directions clockwise from north, and where to look first by arrival.
+_CLOCK = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+_FIRST = {7: 5, 6: 5, 0: 7, 1: 7, 2: 1, 3: 1, 4: 3, 5: 3}
 
 
 class Forest:
@@ -181,8 +188,6 @@ def chains(trees: DataFrame, links: DataFrame, least: int = 3) -> DataFrame:
 
 def chain_lines(found: DataFrame, size: int) -> DataFrame:
     """Lines between the centres of neighbours on a chain."""
-    from pyspark.sql.window import Window as W
-
     line = W.partitionBy("img", "chain").orderBy("seq")
     out = found.withColumn("r2", F.lead("r").over(line)).withColumn("c2", F.lead("c").over(line)).filter("r2 IS NOT NULL")
     mid = lambda k: F.col(k) * size + size // 2
@@ -190,87 +195,159 @@ def chain_lines(found: DataFrame, size: int) -> DataFrame:
 
 
 def sniff(trees: DataFrame, found: DataFrame, depth: int = 4) -> DataFrame:
-    """img, a, b, cost, path: cheapest bridges between ends of different chains.
-    Ends grow over free trees, cheapest first, less than ``depth`` steps; a step
-    costs the difference of devdev."""
+    """img, seq, a, b, cost, path: cheapest bridges between ends of chains, in the
+    order they were met.  Both ends of every chain grow over trees off the chains,
+    the cheapest front first, at most ``depth`` trees far and no further than an
+    eighth turn from their chain's way; a step costs the difference of devdev.
+    Where fronts of two ends meet, the bridge is both ways and the step between;
+    path leads from one end to the other."""
     px = trees.select("img", "r", "c", "devdev")
     both = px.join(found.select("img", "r", "c", "chain", "seq"), ["img", "r", "c"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         value = {(r, c): v for r, c, v in zip(pdf["r"], pdf["c"], pdf["devdev"], strict=True)}
         on = pdf[pdf["chain"].notna()].sort_values(["chain", "seq"])
-        owner = {(r, c): int(k) for r, c, k in zip(on["r"], on["c"], on["chain"], strict=True)}
-        ends = []
+        inner = set(zip(on["r"], on["c"], strict=True))
+        # Of each tree that a front has reached: end, cost, length, where from.
+        front: dict[tuple, list] = {}
+        ends, heap, bridges = [], [], {}
         for k, g in on.groupby("chain", sort=True):
             line = list(zip(g["r"], g["c"], strict=True))
-            ends += [(int(k), line[0], line[1]), (int(k), line[-1], line[-2])] if len(line) > 1 else []
-        heap, order, seen, best = [], 0, {}, {}
-        for e, (k, end, inner) in enumerate(ends):
-            heap.append((0.0, order := order + 1, e, end, 0, (end,), (end[0] - inner[0], end[1] - inner[1])))
-        heapq.heapify(heap)
+            for end, before in ((line[0], line[1]), (line[-1], line[-2])) if len(line) > 1 else ():
+                front[end] = [len(ends), 0.0, 0, None]
+                heap.append((0.0, len(heap), end))
+                ends.append((int(k), (end[0] - before[0], end[1] - before[1])))
+        order = len(heap)
         while heap:
-            cost, _, e, at, length, path, way = heapq.heappop(heap)
-            for dr, dc in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)):
-                if dr * way[0] + dc * way[1] <= 0 or length + 1 >= depth:
-                    continue
+            _, _, at = heapq.heappop(heap)
+            e, cost, length, _ = front[at]
+            way = ends[e][1]
+            for dr, dc in _CLOCK:
                 to = (at[0] + dr, at[1] + dc)
-                if to not in value or to in path:
+                if dr * way[0] + dc * way[1] <= 0 or to not in value:
                     continue
                 price = cost + abs(value[at] - value[to])
-                if to in owner:
-                    other = owner[to]
-                    if other != ends[e][0] and any(to == x[1] for x in ends):
-                        pair = (min(ends[e][0], other), max(ends[e][0], other))
-                        if pair not in best or price < best[pair][0]:
-                            best[pair] = (price, (*path, to))
-                elif to not in seen:
-                    seen[to] = e
-                    heapq.heappush(heap, (price, order := order + 1, e, to, length + 1, (*path, to), way))
-                elif seen[to] != e and ends[seen[to]][0] != ends[e][0]:
-                    pair = tuple(sorted((ends[seen[to]][0], ends[e][0])))
-                    if pair not in best or price < best[pair][0]:
-                        best[pair] = (price, (*path, to))
-        rows = [(pdf["img"].iloc[0], a, b, float(c), [[int(v) for v in p] for p in path]) for (a, b), (c, path) in sorted(best.items())]
-        return pd.DataFrame(rows, columns=["img", "a", "b", "cost", "path"])
-
-    return both.groupBy("img").applyInPandas(run, "img string, a long, b long, cost double, path array<array<int>>")
-
+                if to in front:
+                    other = front[to]
+                    if other[0] == e:
+                        if price < other[1]:
+                            other[1:] = [price, length + 1, at]
+                    elif price + other[1] < bridges.setdefault(frozenset((e, other[0])), (float("inf"), None, None))[0]:
+                        bridges[frozenset((e, other[0]))] = (price + other[1], at, to)
+                elif to not in inner and length < depth:
+                    front[to] = [e, price, length + 1, at]
+                    heapq.heappush(heap, (price, order := order + 1, to))
+
+        def way_back(at: tuple | None) -> list[list[int]]:
+            out, seen = [], set()
+            while at is not None and at not in seen:
+                seen.add(at)
+                out.append([int(at[0]), int(at[1])])
+                at = front[at][3]
+            return out
+
+        rows = [(pdf["img"].iloc[0], i, ends[front[x][0]][0], ends[front[y][0]][0], float(c), way_back(x)[::-1] + way_back(y)) for i, (c, x, y) in enumerate(bridges.values())]
+        return pd.DataFrame(rows, columns=["img", "seq", "a", "b", "cost", "path"])
+
+    return both.groupBy("img").applyInPandas(run, "img string, seq int, a long, b long, cost double, path array<array<int>>")
+
+
+def sniffer_lines(bridges: DataFrame, size: int) -> DataFrame:
+    """Lines between the centres of neighbours on bridges."""
+    steps = F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(i - 1 AS at, path[i - 1] AS p, path[i] AS q))"))
+    mid = lambda k, i: (F.col(f"s.{k}")[i] * size + size // 2)
+    return bridges.select("img", "seq", steps.alias("s")).select("img", F.col("seq").alias("bridge"), F.col("s.at").alias("seq"), mid("p", 1).alias("x1"), mid("p", 0).alias("y1"), mid("q", 1).alias("x2"), mid("q", 0).alias("y2"))
+
+
+def joined_chains(trees: DataFrame, found: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Chains after bridging, as from chains(): in the order of the bridges, two
+    different chains whose ends a bridge connects become one, with the bridge's
+    trees between them, if both ends are still ends.  It keeps the first one's id."""
+    line = found.groupBy("img", "chain").agg(F.sort_array(F.collect_list(F.struct("seq", "r", "c"))).alias("trees"))
+    lines = line.select("img", F.lit(0).alias("kind"), F.col("chain").alias("id"), F.transform("trees", lambda t: F.array(t["r"], t["c"])).alias("path"))
+    rows = lines.unionByName(bridges.select("img", F.lit(1).alias("kind"), F.col("seq").cast("long").alias("id"), "path"))
 
-#: Eight directions clockwise from north, and where to look first by arrival.
-_CLOCK = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
-_FIRST = {7: 5, 6: 5, 0: 7, 1: 7, 2: 1, 3: 1, 4: 3, 5: 3}
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["kind", "id"])
+        paths = [[tuple(int(v) for v in p) for p in path] for path in pdf["path"]]
+        chain = {int(i): path for i, path, kind in zip(pdf["id"], paths, pdf["kind"], strict=True) if kind == 0}
+        owner = {t: i for i, path in chain.items() for t in (path[0], path[-1])}
+        for path, kind in zip(paths, pdf["kind"], strict=True):
+            a, b = (owner.get(path[0]), owner.get(path[-1])) if kind == 1 else (None, None)
+            if a is None or b is None or a == b:
+                continue
+            first = chain[a] if chain[a][-1] == path[0] else chain[a][::-1]
+            second = chain.pop(b)
+            second = second if second[0] == path[-1] else second[::-1]
+            for t in (path[0], path[-1]):
+                del owner[t]
+            chain[a] = [*first, *path[1:-1], *second]
+            owner[chain[a][0]] = owner[chain[a][-1]] = a
+        rows = [(pdf["img"].iloc[0], i, q, r, c) for i, path in sorted(chain.items()) for q, (r, c) in enumerate(path)]
+        return pd.DataFrame(rows, columns=["img", "chain", "seq", "r", "c"])
+
+    out = rows.groupBy("img").applyInPandas(run, "img string, chain long, seq int, r int, c int").join(trees.select("img", "r", "c", "devdev"), ["img", "r", "c"])
+    step = F.abs(F.col("devdev") - F.lag("devdev").over(W.partitionBy("img", "chain").orderBy("seq")))
+    cost = F.sum(F.coalesce("step", F.lit(0.0))).over(W.partitionBy("img", "chain"))
+    return out.withColumn("step", step).select("img", "chain", "seq", "r", "c", cost.alias("cost"))
+
+
+def find_boundaries(trees: DataFrame, rounds: int, bias: float, min_length: int = 3, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Boundary trees of tree_edges(), and their chains (img, chain, seq, r, c, cost):
+    the test on the deviation, links to the strongest neighbours in direction,
+    chains of at least min_length trees, and bridges between their ends."""
+    found = cut(boundaries(trees, rounds, bias))
+    single = cut(chains(found, chain_links(found), min_length))
+    return found, joined_chains(found, single, cut(sniff(found, single, depth)))
+
+
+def sides_passed(arrival: int, departure: int) -> list[int]:
+    """Sides of a tree (0 left, 1 top, 2 right, 3 bottom) that a walk with the tree
+    on its right-hand side passes between two directions (clockwise from north).
+
+    A walk along direction d has side d / 2 to its left; diagonal ones lie between
+    two sides.  A turn to the right passes all sides from the first whole one to
+    the last, straight on or a turn to the left one side.  Turns back, which only
+    a first step can make, pass none."""
+    turn = (departure - arrival) % 8
+    if 1 <= turn <= 4 - arrival % 2:
+        return [x % 4 for x in range((arrival + 1) // 2, (arrival + turn) // 2 + 1)]
+    if turn == 0:
+        return [0 if departure == 7 else departure // 2]
+    return [(departure + 1) // 2 % 4] if turn >= 7 - arrival % 2 else []
 
 
 def contours(segments: DataFrame, size: int, least_width: int = 33, least_height: int = 32) -> DataFrame:
     """img, segment, seq, x1, y1, x2, y2: lines around segments (img, segment, r, c)
-    whose boxes are wider than the given size: a right-hand walk over trees."""
+    whose boxes span more than the given size: a right-hand walk over trees from
+    the first one of the middle row, through the midpoints of the sides passed
+    (in grid pixels).  Segments without a tree there or too small have none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        cells = set(zip(pdf["r"], pdf["c"], strict=True))
-        r0, r1, c0, c1 = pdf["r"].min(), pdf["r"].max(), pdf["c"].min(), pdf["c"].max()
-        if (c1 - c0 + 1) * size > least_width and (r1 - r0 + 1) * size > least_height:
-            row = (r0 + r1 + 1) // 2
-            inside = sorted(c for r, c in cells if r == row)
-            start = (row, inside[0]) if inside else min(cells)
-            at, way, line = start, 1, [start]
+        cells = set(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))
+        y1, y2 = int(pdf["r"].min()) * size, (int(pdf["r"].max()) + 1) * size - 1
+        x1, x2 = int(pdf["c"].min()) * size, (int(pdf["c"].max()) + 1) * size - 1
+        middle = (y1 + y2) // 2 // size
+        row = [c for r, c in cells if r == middle]
+        if x2 - x1 > least_width and y2 - y1 > least_height and row:
+            half = size // 2
+            side = ((half, 0), (0, half), (half, size), (size, half))  # y, x from the corner
+            point = lambda at, k: (at[1] * size + side[k][1], at[0] * size + side[k][0])
+            start = at = (middle, min(row))
+            line, way = [point(start, 0)], 1
             for _ in range(8 * len(cells)):
-                for k in range(8):
-                    to_way = (_FIRST[way] + k) % 8
-                    to = (at[0] + _CLOCK[to_way][0], at[1] + _CLOCK[to_way][1])
-                    if to in cells:
-                        break
-                else:
+                ways = ((_FIRST[way] + k) % 8 for k in range(8))
+                to = next((w for w in ways if (at[0] + _CLOCK[w][0], at[1] + _CLOCK[w][1]) in cells), None)
+                if to is None:
                     break
-                at, way = to, to_way
-                line.append(at)
+                line += [point(at, k) for k in sides_passed(way, to)]
+                at, way = (at[0] + _CLOCK[to][0], at[1] + _CLOCK[to][1]), to
                 if at == start:
                     break
-            mid = lambda p: (int(p[1]) * size + size // 2, int(p[0]) * size + size // 2)
-            rows = [(pdf["img"].iloc[0], int(pdf["segment"].iloc[0]), i, *mid(a), *mid(b)) for i, (a, b) in enumerate(zip(line, line[1:], strict=False))]
+            line.append(line[0])
+            rows = [(pdf["img"].iloc[0], int(pdf["segment"].iloc[0]), i, *a, *b) for i, (a, b) in enumerate(zip(line, line[1:], strict=False))]
         return pd.DataFrame(rows, columns=["img", "segment", "seq", "x1", "y1", "x2", "y2"])
 
     # One segment a group: its trees, not its pixels.
     return segments.select("img", "segment", "r", "c").groupBy("img", "segment").applyInPandas(run, "img string, segment long, seq int, x1 int, y1 int, x2 int, y2 int")
-
-

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .components import colour
+from ..functions.color import colour
 from .sequential import Forest
 
 
@@ -66,6 +66,19 @@ def draw_motion(video: DataFrame, blocks: DataFrame, segments: DataFrame, size:
     return j.select("img", "frame", "y", "x", *[F.when(F.col("segment").isNull(), F.col("m")).otherwise(k).alias(f"c{i}") for i, k in enumerate(colour(F.col("segment")))])
 
 
+def frame_segments(blocks: DataFrame, segments: DataFrame, size: int) -> DataFrame:
+    """img, frame, segment, n, s, s2, y1, x1, y2, x2 (inclusive, in pixels) of the
+    moving segments of every frame."""
+    j = segments.join(blocks.select("img", "frame", "r", "c", "n", "s", "s2"), ["img", "frame", "r", "c"])
+    box = [(F.min("r") * size).alias("y1"), (F.min("c") * size).alias("x1"), (F.max("r") * size + size - 1).alias("y2"), (F.max("c") * size + size - 1).alias("x2")]
+    return j.groupBy("img", "frame", "segment").agg(*[F.sum(k).cast("long").alias(k) for k in ("n", "s", "s2")], *box)
+
+
+def segment_counts(segments: DataFrame) -> DataFrame:
+    """img, frame, segments: how many each frame has (frames without one are not listed)."""
+    return segments.groupBy("img", "frame").agg(F.countDistinct("segment").alias("segments"))
+
+
 def latest(frames: DataFrame) -> DataFrame:
     """Rows of each image's last frame."""
     last = frames.groupBy("img").agg(F.max("frame").alias("frame"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, geometry, stats
 from ..operators import adaptive, components, edges, filters, grids, integral, lists, point, quadtree, sequential, temporal
+from ..session import cut, shared_dir
 from ..sources import fixtures
 from ..sources.fixtures import table
 from . import sql
@@ -41,7 +42,7 @@ pixels("scale_up", "emb_grey", point.scale_up, "SELECT y * 2 + i AS y, x * 2 + j
 pixels("normalize", "emb_grey", point.normalize, sql.NORMALIZE.format(src="px"))
 pixels("normalize_given", "emb_grey", lambda d: point.normalize(d, F.lit(50), F.lit(200)), "SELECT y, x, least(255, greatest(0, trunc(256.0::DOUBLE / (200 - 50) * (v - 50))))::INT AS v FROM px")
 pixels("channel_pick", "emb_rgb", lambda d: point.pick_channel(d, 1), "SELECT y, x, c1 AS v FROM px")
-pixels("doc_threshold", "doc_bytes", lambda d: point.threshold(d, 110), "SELECT y, x, CASE WHEN v >= 110 THEN 255 ELSE 0 END AS v FROM px")
+pixels("doc_threshold", "doc_bytes", lambda d: point.threshold(d, 110).groupBy("y").agg(F.count(F.when(F.col("v") == 255, 1)).alias("bright"), F.count("*").alias("width")), "SELECT y, count(*) FILTER (v >= 110) AS bright, count(*) AS width FROM px GROUP BY y")
 
 
 @query("image_size", sql.over("emb_grey", "SELECT 'emb' AS img, max(x) + 1 AS width, max(y) + 1 AS height FROM px"))
@@ -103,21 +104,19 @@ def _rects(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.lit("emb").alias("img"), k.alias("rect"), (k % 70 - 4).alias("x"), (k * 7 % 520 - 10).alias("y"), (k % 13).alias("w"), (k % 17).alias("h"))
 
 
-def _rect_query(spark: SparkSession, sf: str) -> DataFrame:
-    return integral.rect_statistics(fixtures.emb_grey(spark, sf), _rects(spark, sf))
-
-
 for _n, _cols in {"rect_mean": ("mean",), "rect_variance": ("variance",), "rect_stats": ("n", "s", "s2", "mean", "variance", "deviation"), "rect_min": ("lo",), "rect_max": ("hi",)}.items():
     def _one(spark: SparkSession, sf: str, cols: tuple[str, ...] = _cols) -> DataFrame:
-        return _rect_query(spark, sf).select("rect", *[F.round(c, 6).alias(c) if c in ("mean", "variance", "deviation") else F.col(c) for c in cols])
+        op = integral.rect_extremes if cols[0] in ("lo", "hi") else integral.rect_sums
+        out = op(fixtures.emb_grey(spark, sf), _rects(spark, sf))
+        return out.select("rect", *[F.round(c, 6).alias(c) if c in ("mean", "variance", "deviation") else F.col(c) for c in cols])
 
     query(_n, sql.over("emb_grey", sql.rects(_cols)))(_one)
 
 
-@query("rect_clip", sql.RECT_CLIP)
+@query("rect_clip", sql.over("emb_grey", sql.RECT_CLIP))
 def _rect_clip(spark: SparkSession, sf: str) -> DataFrame:
-    r = _rects(spark, sf)
-    cut = geometry.clipped(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(64), F.lit(500))
+    r = _rects(spark, sf).join(point.size(fixtures.emb_grey(spark, sf)), "img")
+    cut = geometry.clipped(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
     return r.select("rect", *[cut[k].alias(k) for k in ("x1", "y1", "x2", "y2", "n")])
 
 
@@ -151,19 +150,19 @@ pixels("edges_h", "emb_check", lambda d: edges.edges(d, "h", 4, 6), sql.contrast
 pixels("edges_to_grey", "emb_check", lambda d: edges.edges_to_grey(d, 4, 6), sql.PAINT_GREY)
 pixels("edges_overlay", "emb_check", lambda d: edges.edges_overlay(d, 4, 6), sql.PAINT_OVER)
 pixels("edges_x_box", "emb_check", lambda d: edges.edges_x_box(d, 6, 4), sql.EDGES_X_BOX)
-pixels("find_edges_program", "emb_check", lambda d: edges.edges_overlay(filters.binomial(d, 2), 4, 6))
+pixels("find_edges_program", "emb_check", lambda d: edges.edges_overlay(filters.binomial(d, 2), 4, 6), sql.FIND_EDGES_PROGRAM)
 
 # Components ----------------------------------------------------------------------------
 pixels("cc_labels", "emb_grey", lambda d: components.component_labels(point.threshold(d, 120)), sql.CC + "SELECT r.y, p.x::INT AS x, l.label FROM runs r JOIN lab l USING (id), unnest(range(x1, x2 + 1)) p(x)")
-pixels("cc_regions", "emb_grey", lambda d: components.component_regions(point.threshold(d, 120)), sql.CC + "SELECT label, min(x1) AS x1, min(y) AS y1, max(x2) AS x2, max(y) AS y2, sum(x2 - x1 + 1)::BIGINT AS n FROM runs JOIN lab USING (id) GROUP BY label")
+pixels("cc_regions", "emb_grey", lambda d: components.component_regions(point.threshold(d, 120)), sql.CC + sql.CC_REGIONS)
 pixels("cc_border", "emb_grey", lambda d: components.border(point.threshold(d, 120)), sql.BORDER)
-pixels("cc_draw", "emb_grey", lambda d: components.draw_components(point.threshold(d, 120)))
+pixels("cc_draw", "emb_grey", lambda d: components.draw_components(point.threshold(d, 120)), sql.CC_DRAW)
 
 
-@query("cc_program")
+@query("cc_program", sql.over("emb_grey", sql.CC_PROGRAM))
 def _cc_program(spark: SparkSession, sf: str) -> DataFrame:
     """Threshold program: adaptive threshold, then regions."""
-    return components.component_regions(adaptive.feng(fixtures.emb_grey(spark, sf), 2, 2.0, invert=True))
+    return components.component_regions(adaptive.feng(fixtures.emb_grey(spark, sf), 2, 2.0, invert=True)).drop("img")
 
 
 # Quad trees ------------------------------------------------------------------------------
@@ -179,13 +178,31 @@ pixels("split_overlap", "emb_check", lambda d: quadtree.divide(d, 16, 4, quadtre
 
 
 def _leaves(d: DataFrame) -> DataFrame:
-    from ..session import cut
-
     return cut(quadtree.divide(d, 16, 4, quadtree.by_overlap(3.0, 0.5)))
 
 
 pixels("leaf_neighbors", "emb_check", lambda d: quadtree.leaf_neighbours(_leaves(d), 4), sql.split("overlap") + sql.LEAF_NEIGHBOURS)
 pixels("draw_tree_mean", "emb_check", lambda d: quadtree.draw_means(d, _leaves(d), 16, 4), sql.split("overlap") + sql.DRAW)
+pixels("draw_image_mean", "emb_check", lambda d: quadtree.draw_image(d, _leaves(d), 16, 4), sql.split("overlap") + sql.DRAW_IMAGE)
+
+
+def _segmented(d: DataFrame) -> DataFrame:
+    """Leaves, each with its root's place as its segment."""
+    segment = F.expr("(y - pmod(y - dy, 16)) * 4294967296 + x - pmod(x - dx, 16)")
+    return _leaves(d).join(quadtree.grid(d, 16).select("img", "dx", "dy"), "img").withColumn("segment", segment).drop("dx", "dy")
+
+
+pixels("draw_image_segments", "emb_check", lambda d: quadtree.draw_image(d, _segmented(d), 16, 4, segments=True), sql.split("overlap") + sql.DRAW_SEGMENTS)
+pixels("draw_image_colours", "emb_check", lambda d: quadtree.draw_image(d, _segmented(d), 16, 4, colours=True), sql.split("overlap") + sql.DRAW_COLOURS)
+
+
+def _highlighted(d: DataFrame) -> DataFrame:
+    s = _segmented(d)
+    wanted = s.filter("size = 4").select("img", "segment").distinct()
+    return quadtree.highlight(color.convert(d, "grey", "rgb"), s, wanted, 16, 4, (250, 120, 0))
+
+
+pixels("highlight_segments", "emb_check", _highlighted, sql.split("overlap") + sql.HIGHLIGHT)
 pixels("links8", "emb_check", lambda d: rounded(quadtree.links8(d, 16), "angle"), sql.LINKS + "SELECT ay, ax, links.\"by\", bx, round(angle, 6) + 0.0 AS angle FROM links")
 pixels("links_lines", "emb_check", lambda d: rounded(quadtree.link_lines(d, 16), "weight"), sql.LINKS + 'SELECT ax + 8 AS x1, ay + 8 AS y1, bx + 8 AS x2, links."by" + 8 AS y2, round(abs(a.s / a.n - b.s / b.n), 6) + 0.0 AS weight FROM links JOIN r a ON a.y = ay AND a.x = ax JOIN r b ON b.y = links."by" AND b.x = bx')
 
@@ -203,8 +220,6 @@ for _w in ("N4", "H", "V"):
 
 
 def _trees(d: DataFrame, size: int = 8) -> DataFrame:
-    from ..session import cut
-
     return cut(quadtree.tree_edges(d, size))
 
 
@@ -216,44 +231,49 @@ def _edge_segments(d: DataFrame) -> DataFrame:
     return grids.segment_edges(_trees(d), 2, 0.0, "N4", 1, 2.6, "N4")
 
 
-def _row_segments(d: DataFrame) -> DataFrame:
-    return grids.segment_edges(_trees(d), 2, 0.0, "N4", 1, 2.6, "H")
+pixels("segment_edges", "emb_check", _edge_segments, sql.SEGMENT_EDGES + "SELECT r, c, segment FROM seg")
 
 
-pixels("segment_edges", "emb_check", _edge_segments, sql.SEGMENT_EDGES + "SELECT r, c, segment FROM seg")
+def _row_segments(d: DataFrame) -> DataFrame:
+    """Edge trees joined along rows only, so that segments may touch."""
+    return grids.segment_edges(_trees(d), 2, 0.0, "N4", 1, 2.6, "H")
 
 
-def _with_segments(f: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """f(pixels, trees, segments, wanted): segments of rows, those of every third row wanted."""
+def _with_segments(f: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame], segments: Callable[[DataFrame], DataFrame] = _edge_segments) -> Callable[[DataFrame], DataFrame]:
+    """f(pixels, trees, segments, wanted): segments of three trees or more are wanted."""
     def run(d: DataFrame) -> DataFrame:
-        from ..session import cut
-
-        s = cut(_row_segments(d))
-        return f(d, _trees(d), s, s.select("img", "segment").distinct().filter(F.expr("(segment div 4294967296) % 3 = 0")))
+        s = cut(segments(d))
+        return f(d, _trees(d), s, s.groupBy("img", "segment").count().filter("count >= 3").select("img", "segment"))
 
     return run
 
 
-pixels("segment_list", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_list(s, t, 8)), sql.ROW_SEGMENTS + "SELECT segment, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s, sum(s2)::BIGINT AS s2, min(r) * 8 AS y1, min(c) * 8 AS x1, max(r) * 8 + 7 AS y2, max(c) * 8 + 7 AS x2 FROM seg JOIN te USING (r, c) GROUP BY segment")
-pixels("segment_trees", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_trees(s, w)), sql.ROW_SEGMENTS + "SELECT r, c, segment FROM seg WHERE (segment // 4294967296) % 3 = 0")
-pixels("segment_neighbors", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_neighbours(s, w)), sql.ROW_SEGMENTS + "SELECT DISTINCT b.segment FROM seg a JOIN seg b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE (a.segment // 4294967296) % 3 = 0 AND (b.segment // 4294967296) % 3 <> 0")
-pixels("mask", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_mask(d, s, w, 8, 2)), sql.ROW_SEGMENTS + "SELECT p.y, p.x, CASE WHEN g.r IS NULL THEN 0 ELSE 255 END AS v FROM px p LEFT JOIN (SELECT r, c FROM seg WHERE (segment // 4294967296) % 3 = 0) g ON g.r = floor((p.y - 2) / 8.0) AND g.c = p.x // 8")
+pixels("segment_list", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_list(s, t, 8)), sql.SEGMENT_EDGES + "SELECT segment, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s, sum(s2)::BIGINT AS s2, min(r) * 8 AS y1, min(c) * 8 AS x1, max(r) * 8 + 7 AS y2, max(c) * 8 + 7 AS x2 FROM seg JOIN te USING (r, c) GROUP BY segment")
+pixels("segment_trees", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_trees(s, w)), sql.WANTED + "SELECT r, c, segment FROM seg JOIN wanted USING (segment)")
+pixels("segment_neighbors", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_neighbours(s, w), _row_segments), sql.WANTED_ROWS + "SELECT DISTINCT b.segment FROM seg a JOIN wanted USING (segment) JOIN seg b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 ANTI JOIN wanted w ON w.segment = b.segment")
+pixels("mask", "emb_check", _with_segments(lambda d, t, s, w: grids.segment_mask(d, s, w, 8)), sql.MASK)
 
 
 def _bounds(d: DataFrame, size: int = 8) -> DataFrame:
-    from ..session import cut
-
     return cut(grids.boundaries(_trees(d, size), 2, 0.0))
 
 
 pixels("boundaries", "emb_check", lambda d: _bounds(d).select("r", "c", "has_boundary"), sql.BOUNDARIES + "SELECT r, c, has_boundary FROM fb")
-pixels("boundaries_hysteresis", "emb_check", lambda d: grids.strong_boundaries(_bounds(d), 0.5).select("r", "c", "has_boundary"))
-pixels("chain_links", "emb_check", lambda d: grids.chain_links(_bounds(d, 4)))
+pixels("boundaries_hysteresis", "emb_check", lambda d: grids.strong_boundaries(_bounds(d)).select("r", "c", "has_boundary"), sql.HYSTERESIS)
+pixels("chain_links", "emb_check", lambda d: grids.chain_links(_bounds(d, 4)), sql.CHAIN_LINKS)
 pixels("chains", "emb_check", lambda d: sequential.chains(b := _bounds(d, 4), grids.chain_links(b)))
 pixels("chain_lines", "emb_check", lambda d: sequential.chain_lines(sequential.chains(b := _bounds(d, 4), grids.chain_links(b)), 4))
-pixels("sniffers", "emb_check", lambda d: sequential.sniff(b := _bounds(d, 4), sequential.chains(b, grids.chain_links(b))).select("a", "b", "cost", F.size("path").alias("steps")))
-pixels("parse", "emb_check", lambda d: rounded(grids.parse(_trees(d), 2, 0.0), "strength"))
-pixels("parse_boundaries", "emb_check", lambda d: grids.parse_boundaries(_trees(d), 2).select("r", "c", "has_boundary"))
+def _bridges(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b = _bounds(d, 4)
+    c = cut(sequential.chains(b, grids.chain_links(b)))
+    return b, c, sequential.sniff(b, c)
+
+
+pixels("sniffers", "emb_check", lambda d: _bridges(d)[2].select("seq", "a", "b", "cost", F.size("path").alias("steps")))
+pixels("sniffer_lines", "emb_check", lambda d: sequential.sniffer_lines(_bridges(d)[2], 4))
+pixels("find_boundaries", "emb_check", lambda d: sequential.find_boundaries(_trees(d, 4), 2, 0.0)[1])
+pixels("parse", "emb_check", lambda d: rounded(grids.parse(_trees(d), 2, 0.0), "strength"), sql.parse(2))
+pixels("parse_boundaries", "emb_check", lambda d: grids.parse_boundaries(_trees(d), 2).select("r", "c", "has_boundary"), sql.PARSE_BOUNDARIES)
 pixels("segment_overlap", "emb_check", lambda d: sequential.merge_leaves(_leaves(d), alpha=3.0, tree_limit=0.5, segment_limit=0.5))
 pixels("segment_deviation", "emb_check", lambda d: sequential.merge_leaves(quadtree.divide(d, 16, 4, quadtree.by_deviation(18.0)), alpha=1.0, tree_limit=18.0, segment_limit=9.0, measure="deviation"))
 pixels("segment_boundaries", "emb_check", lambda d: sequential.boundary_segments(_bounds(d), tree_alpha=1.0, segment_alpha=1.0))
@@ -262,23 +282,34 @@ pixels("contour", "emb_check", lambda d: sequential.contours(_edge_segments(d),
 
 # Video ------------------------------------------------------------------------------------------
 pixels("motion_blocks", "ev_video", lambda d: temporal.motion(d, 2).select("frame", "r", "c", "changed"), sql.MOTION)
-pixels("motion_segments", "ev_video", lambda d: temporal.motion_segments(temporal.motion(d, 2)))
+pixels("motion_segments", "ev_video", lambda d: temporal.motion_segments(temporal.motion(d, 2)), sql.MOTION_SEGMENTS)
 pixels("motion_latest", "ev_video", lambda d: temporal.latest(temporal.motion(d, 2)).select("frame", "r", "c", "changed"), sql.MOTION + " QUALIFY frame = max(frame) OVER ()")
 
 
-@query("motion_draw")
+@query("motion_draw", sql.over("ev_video", sql.MOTION_DRAW))
 def _motion_draw(spark: SparkSession, sf: str) -> DataFrame:
     d = fixtures.ev_video(spark, sf)
     b = temporal.motion(d, 2)
     return temporal.draw_motion(d, b, temporal.motion_segments(b), 2).drop("img")
 
 
+def _moving(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    def run(d: DataFrame) -> DataFrame:
+        b = temporal.motion(d, 2)
+        return f(b, temporal.motion_segments(b))
+
+    return run
+
+
+pixels("motion_counts", "ev_video", _moving(lambda b, s: temporal.segment_counts(s)), sql.MOTION_COUNTS)
+pixels("motion_boxes", "ev_video", _moving(lambda b, s: temporal.frame_segments(b, s, 2)), sql.MOTION_BOXES)
+
+
 @query("motion_stream", sql.over("ev_video", sql.MOTION))
 def _motion_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same by a stream that reads block statistics from files, frame by frame in each block."""
     import uuid
 
-    from ..session import cut, shared_dir
     from ..streaming.motion import motion_stream
 
     blocks = cut(temporal.block_statistics(fixtures.ev_video(spark, sf), 2))

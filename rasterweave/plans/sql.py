@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..sources.fixtures import SQL as FIXTURES
 
 
@@ -86,9 +88,10 @@ def rects(cols: tuple[str, ...]) -> str:
     return f"rc AS (SELECT c_custkey::INT AS rect, c_custkey % 70 - 4 AS rx, c_custkey * 7 % 520 - 10 AS ry, c_custkey % 13 AS w, c_custkey % 17 AS h FROM customer) SELECT rect, {', '.join(f'{out[c]} AS {c}' for c in cols)} FROM rc LEFT JOIN px ON x >= rx AND x < rx + w AND y >= ry AND y < ry + h GROUP BY rect"
 
 
-RECT_CLIP = """SELECT rect, greatest(x, 0) AS x1, greatest(y, 0) AS y1, least(x + w, 64) AS x2, least(y + h, 500) AS y2,
-  (greatest(least(x + w, 64) - greatest(x, 0), 0) * greatest(least(y + h, 500) - greatest(y, 0), 0))::BIGINT AS n
-FROM (SELECT c_custkey::INT AS rect, (c_custkey % 70 - 4)::INT AS x, (c_custkey * 7 % 520 - 10)::INT AS y, (c_custkey % 13)::INT AS w, (c_custkey % 17)::INT AS h FROM customer)"""
+RECT_CLIP = """sz AS (SELECT max(x) + 1 AS iw, max(y) + 1 AS ih FROM px)
+SELECT rect, greatest(x, 0) AS x1, greatest(y, 0) AS y1, least(x + w, iw) AS x2, least(y + h, ih) AS y2,
+  (greatest(least(x + w, iw) - greatest(x, 0), 0) * greatest(least(y + h, ih) - greatest(y, 0), 0))::BIGINT AS n
+FROM sz, (SELECT c_custkey::INT AS rect, (c_custkey % 70 - 4)::INT AS x, (c_custkey * 7 % 520 - 10)::INT AS y, (c_custkey % 13)::INT AS w, (c_custkey % 17)::INT AS h FROM customer)"""
 
 
 def sauvola(r: str, invert: bool = False) -> str:
@@ -139,8 +142,7 @@ PAINT_GREY = _PAINTED + ", pa AS (SELECT y, x, coalesce(hs, vs, 0) AS v FROM bo)
 PAINT_OVER = _PAINTED + """, o1 AS (SELECT y, x, hs, CASE WHEN vs IS NULL THEN v WHEN v < 128 THEN 255 ELSE 0 END AS v FROM bo)
 SELECT y, x, CASE WHEN hs IS NULL THEN v WHEN v < 128 THEN 255 ELSE 0 END AS v FROM o1"""
 
-CC = """bw AS (SELECT y, x, CASE WHEN v >= 120 THEN 255 ELSE 0 END AS v FROM px),
-st AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY y ORDER BY x) THEN 0 ELSE 1 END AS new FROM bw),
+_CC = """st AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY y ORDER BY x) THEN 0 ELSE 1 END AS new FROM bw),
 nr AS (SELECT *, sum(new) OVER (PARTITION BY y ORDER BY x) AS run FROM st),
 runs AS MATERIALIZED (SELECT y, min(x) AS x1, max(x) AS x2, min(v) AS v, y * 4294967296::BIGINT + min(x) AS id FROM nr GROUP BY y, run),
 ed AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON b.y = a.y + 1 AND a.v = b.v AND a.x1 <= b.x2 AND b.x1 <= a.x2),
@@ -150,6 +152,19 @@ lab(id, label) USING KEY (id) AS (
   UNION
   SELECT e.b, min(l.label) FROM lab l JOIN both_ e ON e.a = l.id JOIN recurring.lab r ON r.id = e.b WHERE l.label < r.label GROUP BY e.b)
 """
+CC = "bw AS (SELECT y, x, CASE WHEN v >= 120 THEN 255 ELSE 0 END AS v FROM px), " + _CC
+CC_REGIONS = "SELECT label, min(x1) AS x1, min(y) AS y1, max(x2) AS x2, max(y) AS y2, sum(x2 - x1 + 1)::BIGINT AS n FROM runs JOIN lab USING (id) GROUP BY label"
+CC_PROGRAM = feng(True, inverted=True, tail=f", bw AS (SELECT y, x, v FROM out), {_CC} {CC_REGIONS}")
+
+
+def colour(label: str, otherwise: str = "") -> str:
+    """c0, c1, c2 of a label, or the other value where it is null."""
+    one = lambda i: f"((({label} % 16777213 * 2654435 % 16777213) >> {8 * i}) % 256)::INT"
+    return ", ".join(f"{f'CASE WHEN {label} IS NULL THEN {otherwise} ELSE {one(i)} END' if otherwise else one(i)} AS c{i}" for i in range(3))
+
+
+CC_DRAW = CC + f"SELECT r.y, p.x::INT AS x, {colour('l.label')} FROM runs r JOIN lab l USING (id), unnest(range(x1, x2 + 1)) p(x)"
+FIND_EDGES_PROGRAM = binomial(2).rpartition(" SELECT")[0] + ", bi AS (SELECT y, x, v::INT AS v FROM c1), " + re.sub(r"\bpx\b", "bi", PAINT_OVER)
 BORDER = """bw AS (SELECT y, x, CASE WHEN v >= 120 THEN 255 ELSE 0 END AS v FROM px)
 SELECT y, x, coalesce(v <> lag(v) OVER r, false) OR coalesce(v <> lead(v) OVER r, false) OR coalesce(v <> lag(v) OVER c, false) OR coalesce(v <> lead(v) OVER c, false) AS is_border
 FROM bw WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y)"""
@@ -197,8 +212,15 @@ LEAVES = "SELECT size, y, x, n, s, s2 FROM lf"
 LEAF_NEIGHBOURS = """SELECT a.y AS ay, a.x AS ax, a.size AS asize, b.y AS by, b.x AS bx, b.size AS bsize, 'E' AS side FROM lf a JOIN lf b ON a.x + a.size = b.x AND a.y < b.y + b.size AND b.y < a.y + a.size
 UNION ALL SELECT a.y, a.x, a.size, b.y, b.x, b.size, 'S' FROM lf a JOIN lf b ON a.y + a.size = b.y AND a.x < b.x + b.size AND b.x < a.x + a.size"""
 DRAW = "SELECT p.y, p.x, trunc(l.s / l.n)::INT AS v FROM px p JOIN lf l ON p.y >= l.y AND p.y < l.y + l.size AND p.x >= l.x AND p.x < l.x + l.size"
+_ROOT = "(y - (y - dy) % 16) * 4294967296::BIGINT + x - (x - dx) % 16"
+_UNDER = "LEFT JOIN {t} l ON p.y >= l.y AND p.y < l.y + l.size AND p.x >= l.x AND p.x < l.x + l.size"
+DRAW_IMAGE = "SELECT p.y, p.x, " + ", ".join(f"coalesce(trunc(l.s / l.n), 0)::INT AS c{i}" for i in range(3)) + " FROM px p " + _UNDER.format(t="lf")
+_SEGS = f", ls AS MATERIALIZED (SELECT *, {_ROOT} AS segment, sum(s) OVER w AS ss, sum(n) OVER w AS sn, min(size) OVER w AS least FROM lf, gr WINDOW w AS (PARTITION BY {_ROOT})) "
+DRAW_SEGMENTS = _SEGS + "SELECT p.y, p.x, " + ", ".join(f"coalesce(trunc(l.ss / l.sn), 0)::INT AS c{i}" for i in range(3)) + " FROM px p " + _UNDER.format(t="ls")
+DRAW_COLOURS = _SEGS + f"SELECT p.y, p.x, {colour('l.segment', '0')} FROM px p " + _UNDER.format(t="ls")
+HIGHLIGHT = _SEGS + "SELECT p.y, p.x, " + ", ".join(f"CASE WHEN l.least = 4 THEN {c} ELSE p.v END AS c{i}" for i, c in enumerate((250, 120, 0))) + " FROM px p " + _UNDER.format(t="ls")
 LINKS = f"""{grid_cte(16)}, {blocks_cte(16, 16)}, links AS (
-  SELECT a.y AS ay, a.x AS ax, b.y AS "by", b.x AS bx, atan2((b.y - a.y)::DOUBLE, (b.x - a.x)::DOUBLE) AS angle
+  SELECT a.y AS ay, a.x AS ax, b.y AS "by", b.x AS bx, CASE WHEN b.y > a.y THEN atan2((a.y - b.y)::DOUBLE, (b.x - a.x)::DOUBLE) + 2 * 3.141592653589793::DOUBLE ELSE 0.0::DOUBLE END AS angle
   FROM r a JOIN r b ON (b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1)) """
 
 
@@ -252,7 +274,7 @@ PROPAGATE_M = f"{tree_edges(8, 8)}, m0 AS MATERIALIZED (SELECT r, c, dx, dy, mag
 def stands_cte(src: str, value: str, rounds: int, name: str, column: str) -> str:
     return f"""{name}_a AS MATERIALIZED (SELECT r, c, {value} AS a FROM {src}), {name}_b AS MATERIALIZED (SELECT r, c, {value} * {value} AS b FROM {src}),
 {propagate_cte(f'{name}_a', 'a', rounds, 'N4', f'{name}_p')}, {propagate_cte(f'{name}_b', 'b', rounds, 'N4', f'{name}_q')},
-{name} AS MATERIALIZED (SELECT t.*, p.a AS pm, {value} > greatest(p.a, p.a + 0.0 - sqrt(greatest(0.0::DOUBLE, q.b - p.a * p.a))) AS {column} FROM {src} t JOIN {name}_p p USING (r, c) JOIN {name}_q q USING (r, c))"""
+{name} AS MATERIALIZED (SELECT t.*, p.a AS pm, sqrt(greatest(0.0::DOUBLE, q.b - p.a * p.a)) AS pd, {value} > greatest(p.a, p.a + 0.0 - sqrt(greatest(0.0::DOUBLE, q.b - p.a * p.a))) AS {column} FROM {src} t JOIN {name}_p p USING (r, c) JOIN {name}_q q USING (r, c))"""
 
 
 FIND_EDGES = f"{tree_edges(8, 8)}, {stands_cte('te', 'mag', 2, 'fe', 'has_edge')} "
@@ -263,9 +285,72 @@ lab(id, label) USING KEY (id) AS (
   SELECT id, id FROM onn UNION
   SELECT e.b, min(l.label) FROM lab l JOIN eb e ON e.a = l.id JOIN recurring.lab k ON k.id = e.b WHERE l.label < k.label GROUP BY e.b),
 seg AS (SELECT r, c, label AS segment FROM onn JOIN lab USING (id)) """
-ROW_SEGMENTS = SEGMENT_EDGES.replace("abs(a.r - b.r) + abs(a.c - b.c) = 1", "a.r = b.r AND abs(a.c - b.c) = 1")
-BOUNDARIES = f"{tree_edges(8, 8)}, td AS MATERIALIZED (SELECT *, {_DEV} AS dev FROM te), {stands_cte('td', 'dev', 2, 'fb', 'has_boundary')} "
+WANTED = SEGMENT_EDGES + ", wanted AS (SELECT segment FROM seg GROUP BY segment HAVING count(*) >= 3) "
+WANTED_ROWS = WANTED.replace("abs(a.r - b.r) + abs(a.c - b.c) = 1", "a.r = b.r AND abs(a.c - b.c) = 1")
+MASK = WANTED + """, ws AS (SELECT r, c FROM seg JOIN wanted USING (segment)), wb AS (SELECT min(r) AS r1, max(r) AS r2, min(c) AS c1, max(c) AS c2 FROM ws)
+SELECT (p.y - dy - r1 * 8)::INT AS y, (p.x - dx - c1 * 8)::INT AS x, CASE WHEN ws.r IS NULL THEN 0 ELSE 255 END AS v
+FROM px p JOIN gr ON TRUE JOIN wb ON floor((p.y - dy) / 8.0) BETWEEN r1 AND r2 AND floor((p.x - dx) / 8.0) BETWEEN c1 AND c2
+LEFT JOIN ws ON ws.r = floor((p.y - dy) / 8.0) AND ws.c = floor((p.x - dx) / 8.0)"""
+
+
+def boundaries(size: int, rounds: int = 2) -> str:
+    """fb: trees with dev, pm, pd and has_boundary."""
+    return f"{tree_edges(size, size)}, td AS MATERIALIZED (SELECT *, {_DEV} AS dev FROM te), {stands_cte('td', 'dev', rounds, 'fb', 'has_boundary')} "
+
+
+BOUNDARIES = boundaries(8)
+_COMPASS = {"N": (-1, 0), "NE": (-1, 1), "E": (0, 1), "SE": (1, 1), "S": (1, 0), "SW": (1, -1), "W": (0, -1), "NW": (-1, -1)}
+#: Where boundary trees look for the next and the previous one, by kind of direction.
+_LOOK = {"steep": "N/S", "flat": "W/E", "up wide": "N NE E/S SW W", "up": "N NE/S SW", "down wide": "W NW N/E SE S", "down": "NW N/SE S"}
+_DIRS = ", ".join(f"('{k}', '{side}', {p}, {_COMPASS[w][0]}, {_COMPASS[w][1]})" for k, both in _LOOK.items() for side, ways in zip(("next", "prev"), both.split("/"), strict=True) for p, w in enumerate(ways.split()))
+AGREE = f""", dirs(k, side, p, dr, dc) AS (VALUES {_DIRS}),
+bt AS MATERIALIZED (SELECT *, CASE WHEN abs(dx) > abs(dy) AND dy = 0 THEN 'steep' WHEN abs(dx) <= abs(dy) AND dx = 0 THEN 'flat'
+  ELSE CASE WHEN dx * dy > 0 THEN 'up' ELSE 'down' END || CASE WHEN abs(dx) < 2 * abs(dy) THEN ' wide' ELSE '' END END AS k FROM fb WHERE has_boundary),
+agree AS MATERIALIZED (SELECT a.r, a.c, d.side, d.p, b.r AS nr, b.c AS nc, b.pd FROM bt a JOIN dirs d USING (k) JOIN bt b ON b.r = a.r + d.dr AND b.c = a.c + d.dc AND sign(a.dx) = sign(b.dx) AND sign(a.dy) = sign(b.dy))"""
+CHAIN_LINKS = boundaries(4) + AGREE + " SELECT r, c, side, nr, nc FROM agree QUALIFY row_number() OVER (PARTITION BY r, c, side ORDER BY pd DESC, p) = 1"
+HYSTERESIS = boundaries(8) + AGREE + """, kept(r, c) AS (
+  SELECT r, c FROM agree WHERE nr > r OR nr = r AND nc > c
+  UNION SELECT a.r, a.c FROM kept k JOIN agree a ON a.nr = k.r AND a.nc = k.c AND (a.nr < a.r OR a.nr = a.r AND a.nc < a.c))
+SELECT f.r, f.c, has_boundary AND k.r IS NOT NULL AS has_boundary FROM fb f LEFT JOIN kept k USING (r, c)"""
+PARSE_BOUNDARIES = f"""{tree_edges(8, 8)}, td AS MATERIALIZED (SELECT r, c, s / n AS mean, {_DEV} AS dev FROM te),
+{propagate_cte('td', 'mean', 2, 'N4', 'qm')}, {propagate_cte('td', 'dev', 3, 'N4', 'qd')},
+rg AS (SELECT r, c, greatest(0.0, qm.mean - greatest(1.0, qd.dev)) AS a1, least(255.0, qm.mean + greatest(1.0, qd.dev)) AS a2,
+  greatest(0.0, td.mean - greatest(1.0, td.dev)) AS b1, least(255.0, td.mean + greatest(1.0, td.dev)) AS b2 FROM td JOIN qm USING (r, c) JOIN qd USING (r, c))
+SELECT r, c, CASE WHEN greatest(a2, b2) > least(a1, b1) THEN greatest(0.0, least(a2, b2) - greatest(a1, b1)) / (greatest(a2, b2) - least(a1, b1)) < 0.5 ELSE false END AS has_boundary FROM rg"""
+
+
+def parse(rounds: int) -> str:
+    pi = "3.141592653589793::DOUBLE"
+    parts = [f"""wy(dr, dc, al) AS (VALUES {", ".join(f"({r}, {c}, {i}::DOUBLE / 4 * {pi})" for i, (r, c) in enumerate(_COMPASS[k] for k in ("E", "NE", "N", "NW", "W", "SW", "S", "SE")))}),
+tn AS (SELECT a.r, a.c, b.r AS tr, b.c AS tc, a.dev < a.pm AND b.dev < b.pm AS calm, a.pm - abs(a.dev - b.dev) AS flat, abs(a.pd - b.pd) AS steep,
+  abs(CASE WHEN al > {pi} THEN al - {pi} ELSE al END - CASE WHEN a.ang > {pi} THEN a.ang - {pi} ELSE a.ang END) AS turn
+  FROM fb a JOIN wy ON TRUE JOIN fb b ON b.r = a.r + dr AND b.c = a.c + dc),
+tc0 AS (SELECT r, c, tr, tc, CASE WHEN calm THEN greatest(0.0::DOUBLE, flat) ELSE CASE WHEN turn > {pi} / 2 THEN {pi} - turn ELSE turn END / ({pi} / 2) * steep END AS cost FROM tn),
+hd AS MATERIALIZED (SELECT r, c, tr, tc, CASE WHEN cost < 1e-7 THEN 0.001::DOUBLE ELSE cost END AS cost FROM tc0),
+a0 AS MATERIALIZED (SELECT r, c FROM fb WHERE has_boundary), s0 AS MATERIALIZED (SELECT r, c, tr, tc, 0.0::DOUBLE AS acc, 0 AS len FROM hd)"""]
+    for i in range(1, rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, c FROM a{i - 1} UNION SELECT tr, tc FROM hd JOIN a{i - 1} USING (r, c)),
+k{i} AS (SELECT hd.*, acc, len, CASE WHEN len > 0 THEN row_number() OVER (PARTITION BY r, c ORDER BY CASE WHEN len > 0 THEN 0 ELSE 1 END, acc, tr, tc) END AS k FROM hd JOIN a{i} USING (r, c) JOIN s{i - 1} USING (r, c, tr, tc)),
+p{i} AS MATERIALIZED (SELECT x.r, x.c, x.tr, x.tc, x.cost + coalesce(y.acc, 0) AS pool, coalesce(y.len, 0) AS plen FROM k{i} x LEFT JOIN k{i} y ON y.r = x.r AND y.c = x.c AND y.k = CASE WHEN x.k = 1 THEN 2 ELSE 1 END),
+s{i} AS MATERIALIZED (SELECT s.r, s.c, s.tr, s.tc, CASE WHEN o.r IS NULL OR m.r IS NULL THEN s.acc ELSE hd.cost + o.pool END AS acc, CASE WHEN o.r IS NULL OR m.r IS NULL THEN s.len ELSE o.plen + 1 END AS len
+  FROM s{i - 1} s JOIN hd USING (r, c, tr, tc) LEFT JOIN p{i} o ON o.r = s.tr AND o.c = s.tc AND o.tr = s.r AND o.tc = s.c LEFT JOIN a{i} m ON m.r = s.r AND m.c = s.c)""")
+    parts.append(f"lk AS (SELECT a.r, a.c, a.tr, a.tc, (a.acc + b.acc) / (a.len + b.len) AS s FROM s{rounds} a JOIN s{rounds} b ON b.r = a.tr AND b.c = a.tc AND b.tr = a.r AND b.tc = a.c JOIN a{rounds} m ON m.r = a.r AND m.c = a.c JOIN a{rounds} n ON n.r = a.tr AND n.c = a.tc WHERE a.r < a.tr OR a.r = a.tr AND a.c < a.tc)")
+    return f"{boundaries(8, rounds + 1)}, {', '.join(parts)} SELECT r, c, tr, tc, round(CASE WHEN max(s) OVER () > min(s) OVER () THEN 1 - (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) ELSE 0 END, 6) + 0.0 AS strength FROM lk"
+
 
 MOTION = f"""bl AS (SELECT frame, (y // 2)::INT AS r, (x // 2)::INT AS c, count(*) AS n, sum(v) AS s, sum(v * v) AS s2 FROM px GROUP BY ALL),
 ms AS (SELECT frame, r, c, s / n AS m, {_DEV} AS d FROM bl)
 SELECT frame, r, c, coalesce(abs(m - lag(m) OVER w) > greatest(1.0, d) + greatest(1.0, lag(d) OVER w), false) AS changed FROM ms WINDOW w AS (PARTITION BY r, c ORDER BY frame)"""
+_MOVING = MOTION.partition("\nSELECT")[0] + """, ch AS MATERIALIZED (SELECT frame, r, c, m, d, frame * 1099511627776::BIGINT + r * 1048576::BIGINT + c AS node,
+  coalesce(abs(m - lag(m) OVER w) > greatest(1.0, d) + greatest(1.0, lag(d) OVER w), false) AS changed FROM ms WINDOW w AS (PARTITION BY r, c ORDER BY frame)),
+gw AS MATERIALIZED (SELECT DISTINCT b.frame, b.r, b.c, b.node FROM ch a JOIN ch b ON a.frame = b.frame AND abs(a.r - b.r) + abs(a.c - b.c) <= 1
+  WHERE a.changed AND (b.changed OR abs(a.m - b.m) < greatest(1.0, a.d) + greatest(1.0, b.d))),
+ge AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM gw a JOIN gw b ON a.frame = b.frame AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+gl(node, label) USING KEY (node) AS (
+  SELECT node, node FROM gw UNION
+  SELECT e.b, min(l.label) FROM gl l JOIN ge e ON e.a = l.node JOIN recurring.gl k ON k.node = e.b WHERE l.label < k.label GROUP BY e.b),
+sg AS (SELECT frame, r, c, label % 1099511627776 // 1048576 * 4294967296 + label % 1048576 AS segment FROM gw JOIN gl USING (node))"""
+MOTION_SEGMENTS = _MOVING + " SELECT frame, r, c, segment FROM sg"
+MOTION_DRAW = _MOVING + f" SELECT p.frame, p.y, p.x, {colour("g.segment", "trunc(b.m)::INT")} FROM px p JOIN ms b ON b.frame = p.frame AND b.r = p.y // 2 AND b.c = p.x // 2 LEFT JOIN sg g ON g.frame = p.frame AND g.r = p.y // 2 AND g.c = p.x // 2"
+MOTION_COUNTS = _MOVING + " SELECT frame, count(DISTINCT segment) AS segments FROM sg GROUP BY frame"
+MOTION_BOXES = _MOVING + " SELECT frame, segment, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s, sum(s2)::BIGINT AS s2, min(r) * 2 AS y1, min(c) * 2 AS x1, max(r) * 2 + 1 AS y2, max(c) * 2 + 1 AS x2 FROM sg JOIN bl USING (frame, r, c) GROUP BY frame, segment"

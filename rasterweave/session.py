@@ -11,10 +11,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir, or a folder of our own where that is unset and all
+    runs on this machine; on a cluster there is no such folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="rasterweave-raster-"))
     return "file://" + _OWN[0]

@@ -54,11 +54,10 @@ def ev_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.lit("ev").alias("img"), "frame", "y", "x", "v")
 
 
-def doc_bytes(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.lit("doc").alias("img"), F.col("doc_id").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("t"))
-    spread = docs.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    char = F.substring(F.col("t"), F.col("x") + 1, F.lit(1))
-    return spread.select("img", "y", "x", F.when(char == "", 0).otherwise(F.least(F.lit(255), F.ascii(char))).cast("int").alias("v"))
+def doc_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every character of every text, one row of pixels a document."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("doc").alias("img"), F.col("doc_id").cast("int").alias("y"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "")).alias("x", "char"))
+    return docs.filter("char != ''").select("img", "y", "x", F.least(F.lit(255), F.ascii("char")).cast("int").alias("v"))
 
 
 _ELEMENTS = "el AS (SELECT vec_id::INT AS y, generate_subscripts(embedding, 1)::INT - 1 AS x, unnest(embedding)::DOUBLE AS e FROM embeddings)"
@@ -75,5 +74,5 @@ SQL = {
     "emb_rgb": _sql_channels(3),
     "emb_uyvy": _sql_channels(2),
     "ev_video": "px AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS frame, hour(ts)::INT AS y, (user_id % 32)::INT AS x, least(255, sum(floor(value)::INT))::INT AS v FROM events GROUP BY ALL)",
-    "doc_bytes": "px AS (SELECT y, x, CASE WHEN substr(t, x + 1, 1) = '' THEN 0 ELSE least(255, unicode(substr(t, x + 1, 1))) END::INT AS v FROM (SELECT doc_id::INT AS y, coalesce(text, '') AS t, unnest(range(64))::INT AS x FROM documents))",
+    "doc_bytes": "px AS (SELECT y, x, least(255, unicode(ch))::INT AS v FROM (SELECT doc_id::INT AS y, generate_subscripts(string_split(text, ''), 1)::INT - 1 AS x, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''))",
 }

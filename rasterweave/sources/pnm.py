@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -97,6 +98,31 @@ def encoded(df: DataFrame, ascii: bool = False, mono: bool = False) -> DataFrame
     return df.select("img", "y", "x", *cols).groupBy("img").applyInPandas(run, "img string, content binary")
 
 
+def write_pnm(df: DataFrame, path: str, most: int = 255) -> None:
+    """Write each image (img, y, x and v, or c0, c1, c2) as an ASCII PNM file in a
+    folder of its own (img=...), with Spark's own text writer, which reaches any
+    store.  A task writes whole images, row by row; it holds one row at a time."""
+    cols = ["v"] if "v" in df.columns else ["c0", "c1", "c2"]
+    value = F.concat_ws(" ", *[F.col(c).cast("string") for c in cols])
+    rows = df.groupBy("img", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", value.alias("v")))), lambda p: p["v"]), " ").alias("value"))
+    size = df.groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    head = F.concat(F.lit(f"P{2 if len(cols) == 1 else 3}\n"), F.concat_ws(" ", "w", "h"), F.lit(f"\n{most}"))
+    lines = rows.unionByName(size.select("img", F.lit(-1).alias("y"), head.alias("value")))
+    lines.repartition("img").sortWithinPartitions("img", "y").select("img", "value").write.partitionBy("img").text(path)
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """img, y, x, c0, c1, c2 of the pictures under path that Spark's image source
+    can decode (JPEG, PNG, GIF, BMP); grey ones have c0 only.  Channels are put in
+    the order red, green, blue."""
+    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    n = F.col("nChannels")
+    px = image.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
+    byte = lambda k: F.conv(F.hex(F.expr(f"substring(data, i * nChannels + {k} + 1, 1)")), 16, 10).cast("int")
+    rgb = [F.when(n == 1, byte(0) if i == 0 else None).otherwise(byte(2 - i)).alias(f"c{i}") for i in range(3)]
+    return px.select(F.col("origin").alias("img"), F.expr("cast(i div width as int)").alias("y"), (F.col("i") % F.col("width")).alias("x"), *rgb)
+
+
 def from_numpy(spark: SparkSession, img: str, image: np.ndarray) -> DataFrame:
     image = image if image.ndim == 3 else image[:, :, None]
     pdf = _pixels(img, image)
@@ -116,7 +142,8 @@ def to_numpy(df: DataFrame, img: str) -> np.ndarray:
 
 
 class PnmDataSource(DataSource):
-    """spark.read.format("pnm").load(path): files that driver and executors can open."""
+    """spark.read.format("pnm").load(path): files that driver and executors can
+    open; read_pnm() reads any store that Spark reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -140,11 +167,9 @@ class _Reader(DataSourceReader):
         names = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(os.path.join(self.path, "*.p[bgnp]m")))
         return [InputPartition(n) for n in names]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with open(partition.value, "rb") as f:
             image = decode(f.read())
-        h, w, c = image.shape
-        for y in range(h):
-            for x in range(w):
-                v = [int(i) for i in image[y, x]] + [None] * (3 - c)
-                yield (partition.value, y, x, *v)
+        for top in range(0, len(image), 256):
+            rows = _pixels(partition.value, image[top : top + 256]).assign(y=lambda d, t=top: (d["y"] + t).astype(np.int32))
+            yield from pa.Table.from_pandas(rows, preserve_index=False).to_batches()

@@ -59,9 +59,13 @@ def test_integral_corners_equal_direct_sums(spark, image):
 
 def test_rectangles_outside_are_zero(spark, image):
     rects = spark.createDataFrame([("a", 1, -5, -5, 3, 3), ("a", 2, 20, 15, 90, 90), ("a", 3, 0, 0, 0, 4)], "img string, rect int, x int, y int, w int, h int")
-    got = {r["rect"]: r for r in integral.rect_statistics(raster(spark, image), rects, tile=8).collect()}
+    got = {r["rect"]: r for r in integral.rect_sums(raster(spark, image), rects).collect()}
     assert got[1]["n"] == got[3]["n"] == 0 and got[1]["mean"] == 0
-    assert got[2]["s"] == image[15:, 20:].sum() and got[2]["hi"] == image[15:, 20:].max()
+    assert got[2]["s"] == image[15:, 20:].sum() and got[2]["n"] == image[15:, 20:].size
+    for tile in (4, 8):
+        ends = {r["rect"]: r for r in integral.rect_extremes(raster(spark, image), rects, tile=tile).collect()}
+        assert ends[1]["hi"] == ends[3]["hi"] == 0
+        assert (ends[2]["lo"], ends[2]["hi"]) == (image[15:, 20:].min(), image[15:, 20:].max())
 
 
 def test_normalize_constant_and_range(spark, image):

@@ -6,10 +6,6 @@ import pytest
 from rasterweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-#: Heavier ones are left to the driver's own comparison.
-SLOW = {"segment_edges", "segment_list", "segment_trees", "segment_neighbors", "mask", "draw_tree_mean", "leaf_neighbors", "split_deviation", "propagate_m", "edges_overlay", "edges_to_grey", "cc_regions", "child_edges", "sauvola_max", "links_lines", "motion_latest"}
-
-
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
@@ -18,7 +14,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, db, name):
     a, b = catalog.QUERIES[name](spark, SF).toPandas(), db.sql(catalog.ORACLES[name]).df()
     cols = sorted(a.columns)
