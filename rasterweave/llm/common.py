@@ -21,10 +21,13 @@ _OWN_DIR: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one
-    of our own where that is unset (as in local tests)."""
+    of our own where that is unset and all runs on this machine (as in tests).  On
+    a cluster without the setting no folder would do."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="rasterweave-"))
     return "file://" + _OWN_DIR[0]

@@ -1,30 +1,39 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Words (runs of letters and digits, lower-cased) of all documents are scanned
    for the n-grams of the test items, a block of items at a time: what is
-   broadcast is bounded by ``block_grams``, and more items mean more scans.
-   Every n-gram of an item is a seed, so every stretch of n unchanged words holds
-   one.  Around each group of hits of one item the passage is kept, as places of
-   its words in the block's vocabulary, as wide as a leak with that hit can be.
-2. Passages that share too few words with their item for any alignment to count
-   are dropped; no leak is lost by this bound.
-3. The others are aligned (match 2, mismatch and gap -1).  A pair is a leak when
-   the alignment reaches ``least`` of the score of the whole item, or holds
-   ``run`` matching words at 80 % of its length.
+   broadcast is bounded by ``block_grams``, and more items mean more scans.  Of
+   documents with a hit the places of their words in the block's vocabulary are
+   stored, with the hits.
+2. n-grams are told rare from common by all documents: common ones stand alone,
+   with no other n-gram of the item near, in more than 8 documents and in more
+   than one of 1,000.  A rare one is a seed: it joins every passage it stands in
+   to its item.  A common one does so where another n-gram of the item is near.
+   Around each group of hits the passage is as wide as a leak with them can be.
+3. Passages that share too few words with their item for any alignment to count
+   are dropped; no leak is lost by this bound.  The others are aligned (match 2,
+   mismatch and gap -1).  A pair is a leak when the alignment reaches ``least`` of
+   the score of the whole item, or holds ``run`` matching words at 80 % of its
+   length.
 
 A copy edited so often that no n words in a row are left unchanged has no hit and
-is not seen, even where its alignment would reach ``least``.
+is not seen, even where its alignment would reach ``least``; nor is one of which
+a single common n-gram is all that is unchanged.
 
-Defined cases: null or empty texts and items without words match nothing; items
-with fewer than n words are matched as a whole by their own length; repeated
-items and rows each count; an empty table on either side gives an empty result.
-A null item_id or doc_id is carried as null.
+Defined cases: null or empty texts match nothing; items of fewer than n words
+tell nothing and match nothing; rows that agree in doc_id and text are one row of
+the result, items that agree in id and text are one item, and others count each,
+also where ids are null (carried as null); of equal scores the leak with more
+matches, then the first, is given; very long texts are scanned whole; an empty
+table on either side gives an empty result.  Only doc_id, item_id and text are
+read, so that other columns clash with nothing; clean() keeps them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +42,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 TERM = re.compile(r"[^\W_]+")
-PASSAGE = "row long, doc_id long, item int, start int, words array<int>"
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     """Best local alignment of two sequences of numbers (-1 matches nothing):
     score, matches, start and end in text."""
@@ -71,23 +77,24 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
 class Items:
     """A block of test items: words, n-grams and vocabulary as small arrays."""
 
-    def __init__(self, items: list[tuple[int | None, str]], n: int) -> None:
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int | None, str, int]], n: int) -> None:
+        self.ids, self.keys_of = [i for i, _, _ in items], [k for _, _, k in items]
         self.n = n
         self.vocabulary: dict[str, int] = {}
-        self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in TERM.findall(t.lower())], np.int64) for _, t in items]
+        self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in TERM.findall(t.lower())], np.int64) for _, t, _ in items]
         self.grams: dict[tuple, int] = {}
         self.counts = [np.unique(w, return_counts=True) for w in self.words]
         self.places: list[list[tuple[int, int]]] = []
         for i, w in enumerate(self.words):
-            size = min(n, len(w))
-            for at in range(len(w) - size + 1 if size else 0):
-                g = self.grams.setdefault(tuple(w[at : at + size].tolist()), len(self.places))
+            for at in range(len(w) - n + 1):
+                g = self.grams.setdefault(tuple(w[at : at + n].tolist()), len(self.places))
                 if g == len(self.places):
                     self.places.append([])
                 self.places[g].append((i, at))
-        self.sizes = sorted({len(g) for g in self.grams})
-        self.keys = {s: np.array(sorted(self._key(np.array([g], np.int64))[0] for g in self.grams if len(g) == s)) for s in self.sizes}
+        keys = self._key(np.array(list(self.grams), np.int64).reshape(-1, n))
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.table = np.array(list(self.grams), np.int64).reshape(-1, n)[self.order]
 
     def _key(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams), np.int64)
@@ -95,25 +102,32 @@ class Items:
             out = out * (len(self.vocabulary) + 1) % (2**61 - 1) + c + 1
         return out
 
-    def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(n-gram, place) of every n-gram of an item in words."""
-        out = []
-        for s in self.sizes:
-            if len(words) < s:
-                continue
-            known = words >= 0
-            run = known[: len(words) - s + 1].copy()
-            for i in range(1, s):
-                run &= known[i : len(words) - s + 1 + i]
-            at = np.flatnonzero(run)
-            if len(at):
-                grams = np.stack([words[at + i] for i in range(s)], 1)
-                key = self._key(grams)
-                near = np.minimum(np.searchsorted(self.keys[s], key), len(self.keys[s]) - 1)
-                for j in np.flatnonzero(self.keys[s][near] == key):
-                    if (g := self.grams.get(tuple(grams[j].tolist()))) is not None:
-                        out.append((g, int(at[j])))
-        return sorted(out, key=lambda x: x[1])
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams of items in words, and their places."""
+        n = self.n
+        if len(words) < n or not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = words >= 0
+        run = known[: len(words) - n + 1].copy()
+        for i in range(1, n):
+            run &= known[i : len(words) - n + 1 + i]
+        at = np.flatnonzero(run)
+        grams = np.stack([words[at + i] for i in range(n)], 1)
+        key = self._key(grams)
+        # Different n-grams of items may share a key: look at all of a key's.
+        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        found, place = [], []
+        while (open_ := lo < hi).any():
+            like = np.flatnonzero(open_)
+            like = like[(self.table[lo[like]] == grams[like]).all(1)]
+            found.append(self.order[lo[like]])
+            place.append(at[like])
+            lo = lo + 1
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, place = np.concatenate(found), np.concatenate(place)
+        first = np.argsort(place, kind="stable")
+        return found[first], place[first]
 
     def most(self, item: int, words: np.ndarray) -> int:
         """No alignment of the item with words has more matches than this."""
@@ -122,98 +136,148 @@ class Items:
         return int(np.minimum(there.searchsorted(kinds, "right") - there.searchsorted(kinds), counts).sum())
 
 
-def _passages(docs: DataFrame, shared: Broadcast[Items], least: float, run: int) -> DataFrame:
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("start", pa.int32()), ("words", pa.list_(pa.int32()))])
+def _scanned(docs: DataFrame, shared: Broadcast[Items]) -> DataFrame:
+    """r1, r2, doc_id, words, grams, places of documents with a hit."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         get = own.vocabulary.get
         for whole in batches:
-            for part in range(0, whole.num_rows, 1000):
-                b, rows = whole.slice(part, 1000), []
-                for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    words = np.array([get(w, -1) for w in TERM.findall(text.lower())], np.int64)
-                    if not len(words):
-                        continue
-                    groups: dict[int, list[list]] = {}
-                    for g, at in own.hits(words):
-                        for item, place in own.places[g]:
-                            size = len(own.words[item])
-                            # With d words put in, a leak's score is 2 * size - d at most.
-                            margin = max(size // 4, math.ceil(2 * (1 - least) * size)) + 2
-                            lo, hi = at - place - margin, at - place + size + margin
-                            of = groups.setdefault(item, [])
-                            if of and lo <= of[-1][1]:
-                                # Hits far apart are other passages: a passage is at most 4 items long.
-                                if hi - of[-1][0] <= 4 * size + 16:
-                                    of[-1][0], of[-1][1] = min(lo, of[-1][0]), max(hi, of[-1][1])
-                                    continue
-                            of.append([lo, hi])
-                    for item, found in groups.items():
-                        for lo, hi in found:
-                            lo, hi = max(0, lo), min(len(words), hi)
-                            if own.most(item, words[lo:hi]) >= min(least * len(own.words[item]), run):
-                                rows.append((row, doc, item, lo, words[lo:hi].tolist()))
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
-
-    return docs.mapInArrow(scan, PASSAGE)
+            for part in range(0, whole.num_rows, 500):
+                b, keep, words_, grams_, places_ = whole.slice(part, 500), [], [], [], []
+                for i, text in enumerate(b.column("text").to_pylist()):
+                    words = np.array([get(w, -1) for w in TERM.findall(text.lower())], np.int64) if text else np.zeros(0, np.int64)
+                    grams, places = own.hits(words)
+                    if len(grams):
+                        keep.append(i)
+                        words_.append(words.astype("<i4").tobytes())
+                        grams_.append(grams.astype("<i4").tobytes())
+                        places_.append(places.astype("<i4").tobytes())
+                rows = b.select(["r1", "r2", "doc_id"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.binary()) for x in (words_, grams_, places_))], ["r1", "r2", "doc_id", "words", "grams", "places"])
+
+    return docs.mapInArrow(scan, "r1 long, r2 long, doc_id long, words binary, grams binary, places binary")
+
+
+def groups(own: Items, grams: np.ndarray, places: np.ndarray, least: float) -> Iterator[tuple[int, int, int, set[int]]]:
+    """(item, from, to, n-grams) of hits of one item that are near each other, as
+    wide as a leak with them can be."""
+    found: dict[int, list[list]] = {}
+    for g, at in zip(grams.tolist(), places.tolist(), strict=True):
+        for item, place in own.places[g]:
+            size = len(own.words[item])
+            # With d words put in, a leak's score is 2 * size - d at most.
+            margin = max(size // 4, math.ceil(2 * (1 - least) * size)) + 2
+            lo, hi = at - place - margin, at - place + size + margin
+            of = found.setdefault(item, [])
+            # Hits far apart are other passages: a passage is at most 4 items long.
+            if of and lo <= of[-1][1] and hi - of[-1][0] <= 4 * size + 16:
+                of[-1][0], of[-1][1] = min(lo, of[-1][0]), max(hi, of[-1][1])
+                of[-1][2].add(g)
+            else:
+                of.append([lo, hi, {g}])
+    for item, each in found.items():
+        for lo, hi, held in each:
+            yield item, lo, hi, held
+
+
+def _hits(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["grams"], "<i4"), np.frombuffer(row["places"], "<i4")
+
+
+def _common(scanned: DataFrame, shared: Broadcast[Items], least: float, most: int) -> set[tuple[int, int]]:
+    """(item, n-gram) that stand alone in more than ``most`` documents; no more of
+    them than the block has words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = shared.value, Counter()
+        for b in batches:
+            for r in b.to_pylist():
+                total.update({(item, min(held)) for item, _, _, held in groups(own, *_hits(r), least) if len(held) == 1})
+        pairs = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()), pa.array([g for _, g in pairs], pa.int32()), pa.array([total[p] for p in pairs], pa.int64())], ["item", "gram", "n"])
+
+    alone = scanned.select("grams", "places").mapInArrow(count, "item int, gram int, n long").groupBy("item", "gram").agg(F.sum("n").alias("n"))
+    return {(r["item"], r["gram"]) for r in alone.filter(F.col("n") > most).toLocalIterator()}
+
+
+def passages(own: Items, common: set[tuple[int, int]], n_words: int, grams: np.ndarray, places: np.ndarray, least: float) -> Iterator[tuple[int, int, int]]:
+    """(item, from, to) around hits that are seeds, or near another one."""
+    for item, lo, hi, held in groups(own, grams, places, least):
+        if len(held) > 1 or (item, min(held)) not in common:
+            yield item, max(0, lo), min(n_words, hi)
+
+
+LEAK = "r1 long, r2 long, doc_id long, item_id long, item long, score double, matched int, start int, end int"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, run: int = 20, block_grams: int = 500_000) -> DataFrame:
     """doc_id, item_id, score (share of the item's own score), matched (words),
     start, end (in words of the document) of every leak, the best a document row
-    and item."""
+    and item; and r1, r2, 128 bits that tell the row."""
     spark = docs.sparkSession
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    rows = docs.select(key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
+    rows = docs.select(*_row(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = [("r1", pa.int64()), ("r2", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
+    out, n_docs = None, docs.count()
     for block in item_blocks(benchmark, n, block_grams):
         shared = spark.sparkContext.broadcast(block)
+        scanned = stored(_scanned(rows, shared), "leak-words")
+        common = spark.sparkContext.broadcast(_common(scanned, shared, least, max(8, n_docs // 1000)))
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared, common=common) -> Iterator[pa.RecordBatch]:
+            own, often = shared.value, common.value
+            for whole in batches:
+                for part in range(0, whole.num_rows, 500):
+                    kept = []
+                    for r in whole.slice(part, 500).to_pylist():
+                        words = np.frombuffer(r["words"], "<i4")
+                        for item, lo, hi in passages(own, often, len(words), *_hits(r), least):
+                            size = len(own.words[item])
+                            if own.most(item, words[lo:hi]) < min(least * size, run):
+                                continue
+                            score, matched, start, end = align(own.words[item], words[lo:hi])
+                            if score >= least * 2 * size or matched >= run and matched >= 0.8 * (end - start):
+                                kept.append((r["r1"], r["r2"], r["doc_id"], own.ids[item], own.keys_of[item], score / (2 * size), matched, lo + start, lo + end))
+                    yield pa.RecordBatch.from_pylist([dict(zip([x for x, _ in kinds], r, strict=True)) for r in kept], schema=pa.schema(kinds))
 
-        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            kinds = [("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("item", pa.int32()), ("score", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
-            for b in batches:
-                kept = []
-                for r in b.to_pylist():
-                    item = own.words[r["item"]]
-                    score, matched, start, end = align(item, np.array(r["words"], np.int64))
-                    share = score / (2 * len(item))
-                    if share >= least or matched >= run and matched >= 0.8 * (end - start):
-                        kept.append((r["row"], r["doc_id"], own.ids[r["item"]], r["item"], share, matched, r["start"] + start, r["start"] + end))
-                yield pa.RecordBatch.from_pylist([dict(zip([x for x, _ in kinds], r, strict=True)) for r in kept], schema=pa.schema(kinds))
-
-        found = _passages(rows, shared, least, run)
-        leaks = stored(found.mapInArrow(judge, "row long, doc_id long, item_id long, item int, score double, matched int, start int, end int"), "leaks")
+        leaks = stored(scanned.mapInArrow(judge, LEAK), "leaks")
+        discard(scanned)
         shared.unpersist()
+        common.unpersist()
         out = leaks if out is None else out.union(leaks)
     if out is None:
-        return spark.createDataFrame([], "row long, doc_id long, item_id long, score double, matched int, start int, end int")
+        return spark.createDataFrame([], "doc_id long, item_id long, score double, matched int, start int, end int, r1 long, r2 long")
     # Passages of one row and item are few: a row's hits, merged by distance.
     best = F.max(F.struct("score", "matched", (-F.col("start")).alias("start"), "end"))
-    out = out.groupBy("row", "doc_id", "item_id").agg(best.alias("b"))
-    return out.select("row", "doc_id", "item_id", "b.score", "b.matched", (-F.col("b.start")).alias("start"), "b.end")
+    out = out.groupBy("r1", "r2", "doc_id", "item_id", "item").agg(best.alias("b"))
+    return out.select("doc_id", "item_id", "b.score", "b.matched", (-F.col("b.start")).alias("start"), "b.end", "r1", "r2")
+
+
+def _row(docs: DataFrame) -> list:
+    both = docs["doc_id"].cast("long"), docs["text"]
+    return [F.xxhash64(*both).alias("r1"), F.xxhash64(F.lit(11), *both).alias("r2")]
 
 
 def item_blocks(benchmark: DataFrame, n: int, block_grams: int) -> Iterator[Items]:
     """Items in blocks of at most block_grams words (one item at least), read one
     partition at a time."""
     block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
+    for r in items.withColumn("key", F.xxhash64("item_id", "text")).orderBy("item_id", "text").toLocalIterator():
         words = len(TERM.findall(r["text"]))
+        if words < n:
+            continue
         if block and size + words > block_grams:
             yield Items(block, n)
             block, size = [], 0
-        if words:
-            block.append((r["item_id"], r["text"]))
-            size += words
+        block.append((r["item_id"], r["text"], r["key"]))
+        size += words
     if block:
         yield Items(block, n)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the rows in which a test item leaked."""
-    leaks = contaminated(docs, benchmark, **how).select(F.col("row").alias("__row")).distinct()
-    return docs.join(leaks, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__row"), "left_anti")
+    leaks = contaminated(docs, benchmark, **how).select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).distinct()
+    r1, r2 = _row(docs)
+    return docs.join(leaks, (r1 == F.col("__r1")) & (r2 == F.col("__r2")), "left_anti")

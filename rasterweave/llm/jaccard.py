@@ -126,10 +126,17 @@ def _blocks(docs: DataFrame, load: np.ndarray, buckets: int, hot: int) -> DataFr
         # In order of size, a point that may link has a neighbour that may.
         near = (tok[1:] == tok[:-1]) & (4 * n[:-1] >= 3 * n[1:])
         keep = np.concatenate([[False], near]) | np.concatenate([near, [False]]) | (salts[(tok >> np.uint64(48)).astype(np.int64)] > 1)
-        return pa.table({"tok": tok[keep].view(np.int64), "fp": fp[keep], "n": n[keep].astype(np.int32)})
+        return pa.table({"tok": tok[keep].view(np.int64), "fp": fp[keep], "n": n[keep].astype(np.int32), "salted": salts[(tok[keep] >> np.uint64(48)).astype(np.int64)] > 1})
 
     packed = docs.select("text").mapInArrow(pack, "key long, toks binary, fps binary, ns binary")
-    return packed.groupBy("key").applyInArrow(shared_tokens, "tok long, fp long, n int")
+    found = packed.groupBy("key").applyInArrow(shared_tokens, "tok long, fp long, n int, salted boolean")
+    if salts.max() == 1:
+        return found.drop("salted")
+    # Of salted tokens no bucket sees all points: those with one only go here.
+    found = stored(found, "jaccard-tokens")
+    heavy = found.filter("salted")
+    several = heavy.groupBy("tok").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("tok")
+    return found.filter("NOT salted").drop("salted").unionByName(heavy.drop("salted").join(several, "tok", "left_semi"))
 
 
 def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:

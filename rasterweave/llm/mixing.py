@@ -57,14 +57,19 @@ def mix(docs: DataFrame, *, share: float = 1.5, limit: float = 2.0, weights: tup
     """doc_id, source, size, source_size, target, taken for every row of docs.
 
     taken is a function of (doc_id, source, size): rows that agree in all three
-    share one place in the queue.
+    share one place in the queue, and are one row until the end, so that an id
+    (or none) that a third of the rows share costs no more than another.  finish
+    is the virtual finish time of a document's first offer, null without words.
     """
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     base = stored(base.withColumn("turn", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))), "mix")
+    rows = base.groupBy("doc_id", "source", "size", "turn", F.spark_partition_id().alias("part")).agg(F.count("*").alias("times"))
+    rows = stored(rows, "mix-rows")
+    base = rows.groupBy("doc_id", "source", "size", "turn").agg(F.sum("times").alias("times")).withColumn("words", F.col("size") * F.col("times"))
     # The first three digits of the digest deal a source's documents into 4,096
     # ranges, alike for any size of source; the order in them is by the whole.
     base = base.withColumn("range", F.substring("turn", 1, 3))
-    sums = base.groupBy("source", "range").agg(F.sum("size").alias("range_size"), F.count("*").alias("range_docs"))
+    sums = base.groupBy("source", "range").agg(F.sum("words").alias("range_size"), F.sum("times").alias("range_docs"))
     sizes = sums.groupBy("source").agg(F.sum("range_size").alias("source_size"), F.sum("range_docs").alias("n_docs"))
     targets = stored(source_targets(sizes, share, limit, weights), "mix-targets")
     total = targets.agg(F.sum("n_docs"), F.sum("source_size")).first()
@@ -74,16 +79,16 @@ def mix(docs: DataFrame, *, share: float = 1.5, limit: float = 2.0, weights: tup
     starts = sums.withColumn("range_start", F.sum("range_size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("range_size"))
     ranges = starts.alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.source", "range", "range_start", "source_size", "target")
     in_range = W.partitionBy("source", "range").orderBy("turn", "doc_id", "size").rangeBetween(W.unboundedPreceding, 0)
-    queued = base.withColumn("upto", F.sum("size").over(in_range)).alias("q")
-    queued = queued.join(ranges.alias("r"), F.expr("q.source <=> r.source AND q.range = r.range")).select("q.doc_id", "q.source", "q.size", "q.turn", "source_size", "target", (F.col("range_start") + F.col("upto")).alias("upto"))
+    queued = base.withColumn("upto", F.sum("words").over(in_range)).alias("q")
+    queued = queued.join(ranges.alias("r"), F.expr("q.source <=> r.source AND q.range = r.range")).select("q.doc_id", "q.source", "q.size", "q.turn", "q.words", "source_size", "target", (F.col("range_start") + F.col("upto")).alias("upto"))
     queued = stored(queued, "mix-queue")
 
     epochs = range(math.ceil(limit))
     at = [F.when((F.col("target") > 0) & (F.col("size") > 0), (k * F.col("source_size") + F.col("upto")) / F.col("target")) for k in epochs]
-    offers = queued.select("turn", "size", F.posexplode(F.array(*at)).alias("epoch", "at")).filter("at IS NOT NULL")
+    offers = queued.select("turn", "words", F.posexplode(F.array(*at)).alias("epoch", "at")).filter("at IS NOT NULL")
     # A source's words are even in finish time, so slices hold about as many words each.
     offers = offers.withColumn("slice", F.least(F.floor(F.col("at") * slices), F.lit(2 * slices)).cast("long"))
-    by_slice = offers.groupBy("slice").agg(F.sum("size").alias("words"))
+    by_slice = offers.groupBy("slice").agg(F.sum("words").alias("words"))
     by_slice = by_slice.withColumn("upto", F.sum("words").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, 0)))
     # The budget ends inside one slice: earlier ones are taken whole, later ones
     # not at all, and only that slice's offers are put in order.
@@ -94,7 +99,7 @@ def mix(docs: DataFrame, *, share: float = 1.5, limit: float = 2.0, weights: tup
     else:
         before = edge["slice"]
         room = budget - (edge["upto"] - edge["words"])
-        used = F.sum("size").over(W.orderBy("at", "turn", "epoch").rangeBetween(W.unboundedPreceding, 0))
+        used = F.sum("words").over(W.orderBy("at", "turn", "epoch").rangeBetween(W.unboundedPreceding, 0))
         cut = offers.filter(F.col("slice") == before).withColumn("used", used).filter(F.col("used") <= room).agg(F.max(F.struct("at", "turn", "epoch")).alias("last")).first()["last"]
         last = tuple(cut) if cut else (-1.0, "", 0)
 
@@ -103,7 +108,18 @@ def mix(docs: DataFrame, *, share: float = 1.5, limit: float = 2.0, weights: tup
         in_time = (at[k] < last[0]) | ((at[k] == last[0]) & ((F.col("turn") < last[1]) | ((F.col("turn") == last[1]) & F.lit(k <= last[2]))))
         return F.when((slice_ < before) | ((slice_ == before) & in_time), F.col("size")).otherwise(0)
 
-    return queued.select("doc_id", "source", "size", "source_size", "target", sum((taken(k) for k in epochs), F.lit(0)).cast("long").alias("taken"))
+    plan = queued.select("doc_id", "source", "size", "source_size", "target", sum((taken(k) for k in epochs), F.lit(0)).cast("long").alias("taken"), at[0].alias("finish"))
+    each = rows.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d.source <=> p.source AND d.size = p.size"))
+    each = each.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select("p.doc_id", "p.source", "p.size", "source_size", "target", "taken", "finish")
+
+
+def in_order(plan: DataFrame) -> DataFrame:
+    """doc_id, source, size, epoch, finish: what a mix takes, one row an offer, in
+    the order of virtual finish times (a range sort of all offers)."""
+    epoch = F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int") - 1))
+    offers = plan.filter("taken > 0").withColumn("epoch", epoch)
+    return offers.select("doc_id", "source", "size", "epoch", (F.col("finish") + F.col("epoch") * F.col("source_size") / F.col("target")).alias("finish")).orderBy("finish", "source", "doc_id")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

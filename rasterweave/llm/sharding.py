@@ -11,7 +11,8 @@ permutation is done range by range, so no task holds a whole shard.
 Law ``rows``: counts of shards differ by one at most; copies of one text are
 shuffled like other rows.  Defined cases: a null text has size 1 and the crc32
 of no bytes; null ids and repeated rows are rows like others; an empty table
-gives an empty result.
+gives an empty result.  Columns of the input are kept; ``shard`` and ``slot``
+replace columns of those names, which take no part in the shuffle.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
 
 def shard(df: DataFrame, n_shards: int = 8, *, seed: int = 17, rows_a_partition: int = 100_000) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in its shard)."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, df.drop("shard", "slot")
     # The matrix stays small: 65,536 lines at most.
     partitions = min(65_536, max(256, df.count() // rows_a_partition))
     rows = df.withColumn("__a", row_hash(df, seed)).withColumn("__b", row_hash(df, seed + 1))
@@ -84,15 +85,16 @@ def shard(df: DataFrame, n_shards: int = 8, *, seed: int = 17, rows_a_partition:
     dealt = spark.createDataFrame(bounds, "__part int, __ends array<long>")
     local = rows.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy("__a", "__b")))
     # The matrix has partitions x shards numbers, whatever the input.
-    out = local.join(F.broadcast(dealt), "__part").withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__n"))).cast("int"))
+    out = local.join(F.broadcast(dealt), "__part").withColumn("__shard", F.size(F.filter("__ends", lambda e: e < F.col("__n"))).cast("int"))
     out = out.withColumn("__slice", F.pmod(F.shiftrightunsigned("__b", 40), F.lit(partitions)).cast("int"))
     out = out.drop("__part", "__ends", "__n")
-    heights = out.groupBy("shard", "__slice").count()
-    starts = heights.withColumn("__start", F.sum("count").over(W.partitionBy("shard").orderBy("__slice").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).drop("count")
-    placed = out.withColumn("__n", F.row_number().over(W.partitionBy("shard", "__slice").orderBy("__b", "__a")))
+    heights = out.groupBy("__shard", "__slice").agg(F.count("*").alias("__count"))
+    starts = heights.withColumn("__start", F.sum("__count").over(W.partitionBy("__shard").orderBy("__slice").rowsBetween(W.unboundedPreceding, 0)) - F.col("__count")).drop("__count")
+    placed = out.withColumn("__n", F.row_number().over(W.partitionBy("__shard", "__slice").orderBy("__b", "__a")))
     # shards x partitions rows: a bound that does not grow with the input.
-    placed = placed.join(F.broadcast(starts), ["shard", "__slice"])
-    return placed.withColumn("slot", F.col("__start") + F.col("__n") - 1).select(*[F.col(f"`{c}`") for c in df.columns], "shard", F.col("slot").cast("long"))
+    placed = placed.join(F.broadcast(starts), ["__shard", "__slice"])
+    slot = (F.col("__start") + F.col("__n") - 1).cast("long")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__shard").alias("shard"), slot.alias("slot"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ and written as one ORC file a range: the ids as an integer list (ORC's own
 run-length encoding), a row index every ``stride`` rows and a Bloom filter on
 doc_id, so that stripes are read in parallel and a look-up by id skips the rest.
 
-By word (for tokenizers that drop white space and encode the pieces of one
-fixed split each for itself) pieces are encoded once and then looked up; texts
-with characters beyond Latin Extended-B, or with marks of special tokens, are
-encoded whole.  Other tokenizers pass ``by_word=False``.
+Tokenizers whose own definition is the one this module knows (NFC, white space to
+blanks, lower case; letters, digits one by one, and runs of the rest; pieces end
+with </w>) are encoded by piece: each is encoded once and then looked up.  Texts with characters beyond Latin Extended-B, or with marks of
+special tokens, are encoded whole, and so are all texts by any other tokenizer.
 
 Defined cases: a null text is encoded as an empty one (only the end id); rows
 with a null doc_id come first; rows that share a doc_id stay together in an
@@ -18,6 +18,7 @@ written.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,27 +34,42 @@ from .common import new_path
 
 #: Pieces that a worker remembers before it starts afresh (about 60 MB).
 REMEMBERED = 300_000
-#: Fixed values of the tokenizer's own split, for texts up to Latin Extended-B:
-#: letters, numbers, white space, and the endings that it sets off.
+#: The definition of a tokenizer that encodes by piece.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+#: The same split for texts up to Latin Extended-B: letters, numbers, white space.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 #: Texts that are encoded whole: other scripts, and marks of special tokens.
 _WHOLE = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 _END = "</w>"
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def splits_by_piece(definition: dict) -> bool:
+    """Whether a tokenizer's own definition is the one that allows pieces to be
+    encoded each for itself."""
+    model = definition.get("model") or {}
+    return all(definition.get(k) == v for k, v in KNOWN.items()) and not definition.get("post_processor") and not definition.get("truncation") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == _END and not model.get("dropout") and all(t["content"].startswith("<|") for t in definition.get("added_tokens") or ())
 
 
 class Encoder:
     """Texts to ids as little-endian 32-bit integers.
 
-    By word: lower-cased texts are cut into the tokenizer's own pieces, new ones
+    By piece: lower-cased texts are cut into the tokenizer's own pieces, new ones
     are encoded together, and each is remembered."""
 
-    def __init__(self, path: str, by_word: bool) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = splits_by_piece(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(_END) for i in range(size)])
@@ -66,6 +82,7 @@ class Encoder:
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<i4")
+            # Each piece ends with a token that says so.
             cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
             if len(cut) == len(part) + 1 and cut[-1] == len(ids):
                 out.update(zip(part, (ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)), strict=True))
@@ -74,7 +91,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
+        if not self.by_piece:
             return [self.whole(t) for t in texts]
         cut = [None if _WHOLE.search(t) else _PIECE.findall(t.lower()) for t in texts]
         out = []
@@ -90,18 +107,18 @@ class Encoder:
         return out
 
 
-def encoder(path: str, by_word: bool = True) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder, kept from task to task."""
-    if (path, by_word) not in _ENCODERS:
-        _ENCODERS[path, by_word] = Encoder(path, by_word)
-    return _ENCODERS[path, by_word]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, by_word: bool = True, partitions: int | None = None, stride: int = 10_000, stripe_mb: int = 64) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, partitions: int | None = None, stride: int = 10_000, stripe_mb: int = 64) -> None:
     """Write doc_id, seq (row in its file), ids of every row of docs to path."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seq, end = encoder(tokenizer, by_word), 0, np.int32(end_id).tobytes()
+        own, seq, end = encoder(tokenizer), 0, np.int32(end_id).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -124,6 +141,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, seq long, ids array<int>").orc(path).select("doc_id", "ids", part.alias("file"), "seq")
 
 
+def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """read_tokens() of some documents: the filter goes to the ORC reader, which by
+    file and stripe statistics, row index and Bloom filters reads only where they
+    may be."""
+    return read_tokens(spark, path).filter(F.col("doc_id").isin(*doc_ids))
+
+
 def token_digest(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from rows of read_tokens()."""
 

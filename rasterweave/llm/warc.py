@@ -144,9 +144,17 @@ def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFr
     single = starts.filter("single").select("file", "split", "seq")
     whole = pieces.filter("record IS NOT NULL").join(single, ["file", "split", "seq"], "left_semi").select(*[F.col(f"record.{n}").alias(n) for n in names], "file")
 
-    # Records whose payload holds the magic: their pieces, in order.
-    spread = starts.filter("NOT single").select("file", F.col("at").alias("start"), "next")
-    parts = placed.alias("p").join(spread.alias("s"), F.expr("p.file = s.file AND p.at >= s.start AND p.at < s.next")).select("p.file", "p.split", "p.seq", "p.at", "s.start")
+    # Records whose payload holds the magic: their pieces, in order.  Each piece
+    # belongs to the last record that began before it, in its own split or, where
+    # none did, in an earlier one; one row a split carries that over.
+    record = F.when(F.col("on"), F.struct(F.col("at").alias("start"), "next", "one"))
+    marks = placed.join(starts.select("file", "split", "seq", "next", F.col("single").alias("one"), F.lit(True).alias("on")), ["file", "split", "seq"], "left")
+    marks = marks.select("file", "split", "seq", "at", F.last(record, ignorenulls=True).over(W.partitionBy("file", "split").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)).alias("own"))
+    ends = marks.groupBy("file", "split").agg(F.max_by("own", "seq").alias("end"))
+    before = F.last("end", ignorenulls=True).over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    marks = marks.join(ends.select("file", "split", before.alias("before")), ["file", "split"]).withColumn("of", F.coalesce("own", "before"))
+    spread = starts.filter("NOT single")
+    parts = marks.filter("NOT of.one AND at < of.next").select("file", "split", "seq", "at", F.col("of.start").alias("start"))
     parts = parts.join(numbered(text), ["file", "split", "seq"])
 
     def joined(table: pa.Table) -> pa.Table:

@@ -192,6 +192,21 @@ def test_mix_meets_targets(spark):
             assert copies[r["doc_id"]] == r["taken"] // r["size"]
 
 
+def test_offers_in_order_of_finish(spark):
+    """Weighted fair queueing by hand: offers sorted by (words so far) / target."""
+    rng = np.random.default_rng(16)
+    rows = [(i, words(rng, 1 + i % 9), "abc"[i % 3]) for i in range(90)] + [(None, "one two three", "a")] * 40
+    plan = mixing.mix(documents(spark, rows))
+    offers = mixing.in_order(plan).collect()
+    assert [r["finish"] for r in offers] == sorted(r["finish"] for r in offers) and len({r["source"] for r in offers[:6]}) > 1
+    assert sum(r["size"] for r in offers) == plan.agg(F.sum("taken")).first()[0]
+    seen = Counter()
+    for r in offers:
+        seen[r["source"]] += r["size"]
+        target = plan.filter(F.col("source") == r["source"]).first()["target"] if len(offers) < 50 else None
+        assert target is None or r["finish"] == pytest.approx(seen[r["source"]] / target)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(documents(spark, [(1, "", "a"), (2, None, None)])).collect()] == [0, 0]
@@ -202,12 +217,14 @@ def test_mix_of_nothing(spark):
 
 def test_shards_are_exact_and_gapless(spark):
     rows = [(i % 90 if i % 7 else None, None if i % 11 == 0 else f"t{i % 5}", "s") for i in range(203)]
-    got = sharding.shard(documents(spark, rows, extra=True).drop("slot"), 8).collect()
+    got = sharding.shard(documents(spark, rows, extra=True).withColumn("shard", F.lit("x")), 8).collect()
     count = Counter(r["shard"] for r in got)
     assert len(got) == 203 and max(count.values()) - min(count.values()) <= 1
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in count.items())
-    again = sharding.shard(documents(spark, rows[::-1], extra=True).drop("slot").repartition(5), 8).collect()
-    assert key(r[:5] + r[-2:] for r in got) == key(r[:5] + r[-2:] for r in again)
+    again = sharding.shard(documents(spark, rows[::-1], extra=True).repartition(5), 8)
+    assert again.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "taken", "shard", "slot"]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for i, t, _ in rows)
+    assert key(r[:5] + r[-2:] for r in got) == key(r[:5] + r[-2:] for r in again.collect())
     d = sharding.shard_digest(documents(spark, [(1, None, "a"), (2, "é", "a")]), 8).collect()
     assert {(r["size"], r["text_crc32"]) for r in d} == {(1, 0), (3, binascii.crc32("é".encode()))}
     assert sharding.shard_digest(documents(spark, [])).count() == 0
@@ -339,7 +356,8 @@ def test_tokens_round_trip(spark):
 def test_groups_with_more_pieces_than_are_remembered(monkeypatch, most):
     P = pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(tokens, "REMEMBERED", most)
-    own = tokens.Encoder(P.path("word_bpe_49k.json"), True)
+    own = tokens.Encoder(P.path("word_bpe_49k.json"))
+    assert own.by_piece
     rng = np.random.default_rng(23)
     for size in (3, 500, 2, 40, 500):  # a warm encoder from the second on
         texts = [words(rng, size, 3000).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(70)]
@@ -347,6 +365,49 @@ def test_groups_with_more_pieces_than_are_remembered(monkeypatch, most):
         assert len(own.known) <= most
 
 
+def test_other_tokenizers_are_not_cut(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(1, "The  cat's HAT, x = 12", "s"), (2, None, "s"), (3, " lead\n\nline", "s")]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokens.tokens_round_trip(documents(spark, rows), path, 2).collect()}
+    for i, x, _ in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_orc_footer_and_pruned_look_up(spark, tmp_path):
+    """Streams of the files: run-length integers, row indexes, Bloom filters; a
+    look-up whose filter the reader gets, and that skips files."""
+    P = pytest.importorskip("public_tokenizers")
+    rng = np.random.default_rng(41)
+    rows = [(i, words(rng, 30), "s") for i in range(3000)]
+    path = f"file://{tmp_path}/orc"
+    tokens.write_tokens(documents(spark, rows), path, P.path("word_bpe_49k.json"), 2, partitions=3, stride=1000)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted(tmp_path.glob("orc/*.orc"))
+    assert len(files) == 3
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000 and str(reader.getCompressionKind()) == "ZSTD"
+        rows_ = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows_.readStripeFooter(stripe)
+            streams = {(str(s.getKind()), s.getColumn()) for s in footer.getStreamsList()}
+            doc_id = reader.getSchema().getChildren()[0].getId()
+            ids = reader.getSchema().getChildren()[2].getChildren()[0].getId()
+            assert ("ROW_INDEX", doc_id) in streams and ("BLOOM_FILTER_UTF8", doc_id) in streams
+            assert str(footer.getColumns(ids).getKind()) == "DIRECT_V2"
+        rows_.close()
+    hit = tokens.look_up(spark, path, [17, 2500])
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id" in plan
+    assert {r["doc_id"] for r in hit.collect()} == {17, 2500}
+    assert tokens.look_up(spark, path, [99999]).count() == 0
+
+
 # Decontamination --------------------------------------------------------------------
 
 
@@ -389,6 +450,27 @@ def test_evenly_edited_leaks_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_seeds_are_rare_and_common_ones_need_company(spark):
+    rng = np.random.default_rng(44)
+    item = words(rng, 30, 5000).split()
+    item[10:13] = ["one", "of", "the"]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item)), (2, " ".join(item)), (None, "alpha beta gamma delta"), (None, "alpha beta gamma omega"), (5, "the of")], "item_id long, text string").withColumn("row", F.lit(0))
+    # The common n-gram stands in most documents, alone or beside loose words of the item.
+    rows = [(i, f"{words(rng, 30, 5000)} one of the {' '.join(rng.permutation(item[:9]).tolist())} {words(rng, 30, 5000)}", "s") for i in range(60)]
+    rows += [(100, f"{words(rng, 9)} {' '.join(item)}", "s"), (None, f"{words(rng, 9)} {' '.join(item)}", "s"), (101, "x alpha beta gamma delta y", "s"), (101, "x alpha beta gamma delta y", "s")]
+    docs = documents(spark, rows, extra=True)
+    got = decontaminate.contaminated(docs, bench).collect()
+    found = Counter((r["doc_id"], r["item_id"], round(r["score"], 2)) for r in got)
+    assert found == Counter({(100, 1, 1.0): 1, (100, 2, 1.0): 1, (None, 1, 1.0): 1, (None, 2, 1.0): 1, (101, None, 1.0): 1, (101, None, 0.75): 1})
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == set(range(60))
+    # What is aligned is little more than the leaks.
+    (block,) = decontaminate.item_blocks(bench, 3, 10**6)
+    common = {(i, g) for g, places in enumerate(block.places) for i, at in places if block.words[i].tolist()[at : at + 3] == [block.vocabulary[x] for x in ("one", "of", "the")]}
+    scanned = [(len(w), *block.hits(w)) for _, t, _ in rows for w in [np.array([block.vocabulary.get(x, -1) for x in t.split()])]]
+    tried = [sum(len(list(decontaminate.passages(block, c, *x, 0.5))) for x in scanned) for c in (common, set())]
+    assert len(common) == 2 and tried[0] <= 3 * len(got) and tried[1] >= 120
+
+
 def plain_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
