@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import new_path
+from .common import new_path, stored
 
-#: Pieces that a worker remembers before it starts afresh (about 60 MB).
-REMEMBERED = 300_000
+#: Pieces that each of a worker's two tables remembers (about 50 MB each).
+REMEMBERED = 250_000
 #: The definition of a tokenizer that encodes by piece.
 KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -71,6 +72,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = splits_by_piece(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(_END) for i in range(size)])
 
@@ -90,20 +92,31 @@ class Encoder:
                 out.update((p, self.whole(p)) for p in part)
         return out
 
+    def recall(self, wanted: list[list[str]]) -> dict[str, bytes]:
+        """A table that holds all pieces of some texts.  What is remembered has two ages:
+        when the young table is full it becomes the old one, and of the old one only
+        what is wanted again comes over; so pieces that return stay."""
+        missing = set(filterfalse(self.known.__contains__, chain.from_iterable(wanted)))
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.old, self.known = self.known, {}
+            missing = set(chain.from_iterable(wanted))
+        again = {p: self.old[p] for p in missing if p in self.old}
+        new = again | self.learn([p for p in missing if p not in again])
+        if len(self.known) + len(new) > REMEMBERED:
+            return new  # more than one table holds: for this group only
+        self.known.update(new)
+        return self.known
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [self.whole(t) for t in texts]
-        cut = [None if _WHOLE.search(t) else _PIECE.findall(t.lower()) for t in texts]
         out = []
-        for at in range(0, len(cut), 64):
-            new = self.learn(sorted(set().union(*(c for c in cut[at : at + 64] if c)).difference(self.known)))
-            if len(self.known) + len(new) <= REMEMBERED:
-                self.known.update(new)
-                get = self.known.__getitem__
-            else:  # start afresh, but not within a group: it needs old and new ones
-                get = (self.known | new).__getitem__
-                self.known = new if len(new) <= REMEMBERED else {}
-            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at : at + 64], cut[at : at + 64], strict=True)]
+        for at in range(0, len(texts), 8):  # few, so that pieces stay in the processor's cache
+            group = texts[at : at + 8]
+            whole = ["<|" in t if t.isascii() else _WHOLE.search(t) is not None for t in group]
+            cut = [() if w else _PIECE.findall(t.lower()) for t, w in zip(group, whole, strict=True)]
+            get = self.recall(cut).__getitem__
+            out += [self.whole(t) if w else b"".join(map(get, c)) for t, w, c in zip(group, whole, cut, strict=True)]
         return out
 
 
@@ -159,7 +172,7 @@ def token_digest(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("file"), b.column("seq"), pa.array(ends.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "seq", "n_tokens", "ids_crc32"])
 
-    rows = tokens.mapInArrow(summed, "doc_id long, file int, seq long, n_tokens long, ids_crc32 long")
+    rows = stored(tokens.mapInArrow(summed, "doc_id long, file int, seq long, n_tokens long, ids_crc32 long"), "token-digests")
     # The files' totals are one row a file; the running total inside a file
     # stays inside its range of ids.
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("words"))
