@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored, text_bytes
 from .components import components
-from .shingles import GROUPS, count_vector, fingerprint, shingle_set
+from .shingles import GROUPS, count_vector, fingerprints, shingle_sets
 
 LOADS = 1 << 16
 SEEN = 200_000
@@ -64,16 +64,12 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = np.zeros(LOADS, np.int64)
-        for b in batches:
-            n, fp = [], []
-            for x in text_bytes(b.column("text")):
-                t = shingle_set(x)
-                n.append(len(t))
-                fp.append(fingerprint(t) if len(t) else None)
-                load += np.bincount((t >> np.uint64(48)).astype(np.int64), minlength=LOADS) if len(t) > 4096 else 0
-                if len(t) <= 4096:
-                    np.add.at(load, (t >> np.uint64(48)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = shingle_sets(text_bytes(b.column("text")))
+                load += np.bincount((np.concatenate(sets) >> np.uint64(48)).astype(np.int64), minlength=LOADS)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([len(t) for t in sets], pa.int64()), pa.array(fingerprints(sets), pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())], schema=schema)
         full = np.flatnonzero(load)
         for i in range(0, len(full), 8192):
             part = full[i : i + 8192]
@@ -92,17 +88,18 @@ def _blocks(docs: DataFrame, load: np.ndarray, buckets: int, hot: int) -> DataFr
         for whole in batches:
             for at in range(0, whole.num_rows, 2500):
                 toks, owners, sizes = [], [], []
-                for x in text_bytes(whole.slice(at, 2500).column("text")):
-                    t = shingle_set(x)
-                    if not len(t) or (fp := fingerprint(t)) in seen:
-                        continue  # an exact copy that this task has dealt with
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(fp)
-                    first = np.argsort(weight[(t >> np.uint64(48)).astype(np.int64)], kind="stable")[: prefix_size(len(t))]
-                    toks.append(t[first])
-                    owners.append(np.full(len(first), fp, np.int64))
-                    sizes.append(np.full(len(first), len(t), np.int32))
+                for part in range(at, min(at + 2500, whole.num_rows), 500):
+                    sets = shingle_sets(text_bytes(whole.slice(part, min(500, at + 2500 - part)).column("text")))
+                    for t, fp in zip(sets, fingerprints(sets), strict=True):
+                        if fp is None or fp in seen:
+                            continue  # an exact copy that this task has dealt with
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(fp)
+                        first = np.argsort(weight[(t >> np.uint64(48)).astype(np.int64)], kind="stable")[: prefix_size(len(t))]
+                        toks.append(t[first])
+                        owners.append(np.full(len(first), fp, np.int64))
+                        sizes.append(np.full(len(first), len(t), np.int32))
                 if not toks:
                     continue
                 tok, fp, n = np.concatenate(toks), np.concatenate(owners), np.concatenate(sizes)
@@ -144,11 +141,11 @@ def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b, rows = whole.slice(at, 1000), []
-                for x, fp in zip(text_bytes(b.column("text")), b.column("fp").to_pylist(), strict=True):
-                    t = shingle_set(x)
-                    if len(t) and fingerprint(t) == fp:  # rows are known by a hash
+            for at in range(0, whole.num_rows, 500):
+                b, rows = whole.slice(at, 500), []
+                sets = shingle_sets(text_bytes(b.column("text")))
+                for t, own, fp in zip(sets, fingerprints(sets), b.column("fp").to_pylist(), strict=True):
+                    if own is not None and own == fp:  # rows are known by a hash
                         rows.append((fp, len(t), count_vector(t).tobytes(), packed(t)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["fp", "n", "vec", "toks"])
 

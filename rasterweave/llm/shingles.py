@@ -66,11 +66,7 @@ def shingle_set(text: bytes, k: int = 5) -> np.ndarray:
     w = word_hashes(text)
     if not len(w):
         return w
-    size = min(k, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    for i in range(size):
-        h = h * _U(0xD6E8FEB86659FD93) + w[i : len(w) - size + 1 + i]
-    return np.unique(mix(h))
+    return np.unique(_hashed(w, min(k, len(w))))
 
 
 def fingerprint(tokens: np.ndarray) -> int:
@@ -79,6 +75,70 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + _U(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def _hashed(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size words."""
+    h = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        h = h * _U(0xD6E8FEB86659FD93) + words[i : len(words) - size + 1 + i]
+    return mix(h)
+
+
+def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
+    """shingle_set() of each text; short texts are hashed together, block by block."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size + len(texts[end]) < _BLOCK // 4:
+            size += len(texts[end]) + 1
+            end += 1
+        if end == at:
+            out.append(shingle_set(texts[at], k))
+            at += 1
+            continue
+        out += _block_sets(texts[at:end], k)
+        at = end
+    return out
+
+
+def _block_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    # A blank between two texts keeps their words apart.
+    b = np.frombuffer(b" ".join(texts), np.uint8)
+    if not len(b):
+        return [np.zeros(0, np.uint64)] * len(texts)
+    space = _SPACE[b]
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = _power(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUE[_LOWER[b]] * up[: len(b)], out=total[1:])
+    words = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    # Words of text i are first[i] up to first[i + 1].
+    first = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    runs = _hashed(words, k) if len(words) >= k else words[:0]
+    out = []
+    for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if z - a >= k:
+            h = np.sort(runs[a : z - k + 1])
+            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+        else:
+            out.append(_hashed(words[a:z], z - a) if z > a else words[:0])
+    return out
+
+
+def fingerprints(sets: list[np.ndarray]) -> list[int | None]:
+    """fingerprint() of each set; None of empty ones."""
+    sizes = np.array([len(t) for t in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    out: list[int | None] = [None] * len(sets)
+    if len(full):
+        flat = mix(np.concatenate([sets[i] for i in full]) ^ _U(0xA5A5A5A5A5A5A5A5))
+        sums = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(sizes[full])[:-1]])) + sizes[full].astype(np.uint64)
+        for i, fp in zip(full.tolist(), mix(sums).view(np.int64).tolist(), strict=True):
+            out[i] = fp
+    return out
+
+
 def count_vector(tokens: np.ndarray) -> np.ndarray:
     """How many tokens fall in each of GROUPS groups, in 16 bits.  A set too large
     for these is at the maximum everywhere, so that its bound never excludes."""

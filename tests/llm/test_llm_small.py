@@ -52,6 +52,18 @@ def test_long_texts_are_hashed_in_blocks(monkeypatch):
     assert (shingles.shingle_set(text) == whole).all()
 
 
+def test_sets_of_many_texts_equal_those_of_each(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [b"", b" ", b"a", b"A b c d", b"", b"a b c d e a b c d e", *(words(rng, int(n), 30).encode() for n in rng.integers(0, 90, 60)), b"x" * 3000, b"", words(rng, 900).encode(), b"\t\n"]
+    for block in (1 << 20, 900, 100):
+        monkeypatch.setattr(shingles, "_BLOCK", block)
+        got = shingles.shingle_sets(texts)
+        want = [shingles.shingle_set(t) for t in texts]
+        assert all(len(a) == len(b) and (a == b).all() for a, b in zip(got, want, strict=True))
+        assert shingles.fingerprints(got) == [shingles.fingerprint(t) if len(t) else None for t in want]
+    assert shingles.shingle_sets([]) == []
+
+
 def family(rng, base, k):
     out = [" ".join(base)]
     for _ in range(k):
