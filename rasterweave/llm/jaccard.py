@@ -46,7 +46,7 @@ from .components import components
 from .shingles import GROUPS, count_vector, fingerprints, shingle_sets
 
 LOADS = 1 << 16
-SEEN = 200_000
+SEEN = 100_000
 
 
 def prefix_size(n: int) -> int:

@@ -89,7 +89,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and size + len(texts[end]) < _BLOCK // 4:
+        while end < len(texts) and size + len(texts[end]) < _BLOCK // 8:
             size += len(texts[end]) + 1
             end += 1
         if end == at:

@@ -41,7 +41,7 @@ from .quality import labelled_sample
 SENTENCE = re.compile(r"[^.!?\n]+")
 TERM = re.compile(r"[^\W\d_]+")
 #: Words that a task remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def marks(word: str) -> list[str]:
