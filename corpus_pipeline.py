@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from rasterweave.llm.common import held_out, stored
+from rasterweave.llm.common import bounded_batches, held_out, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -53,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
