@@ -7,8 +7,10 @@ doc_id, so that stripes are read in parallel and a look-up by id skips the rest.
 
 Tokenizers whose own definition is the one this module knows (NFC, white space to
 blanks, lower case; letters, digits one by one, and runs of the rest; pieces end
-with </w>) are encoded by piece: each is encoded once and then looked up.  Texts with characters beyond Latin Extended-B, or with marks of
-special tokens, are encoded whole, and so are all texts by any other tokenizer.
+with </w>) are encoded by piece: texts are cut together here, as the definition
+says, and the tokenizer's own model encodes each different piece once.  Texts with
+characters beyond Latin Extended-B, or with marks of special tokens, are encoded
+whole, and so are all texts by any other tokenizer.
 
 Defined cases: a null text is encoded as an empty one (only the end id); rows
 with a null doc_id come first; rows that share a doc_id stay together in an
@@ -23,7 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import accumulate, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,78 +47,142 @@ KNOWN = {
 }
 #: The same split for texts up to Latin Extended-B: letters, numbers, white space.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-#: Texts that are encoded whole: other scripts, and marks of special tokens.
-_WHOLE = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
+#: Characters whose texts are encoded whole: other scripts, and one that grows in lower case.
+_WHOLE = "[^\x00-\u012f\u0131-\u024f]"
+#: Characters of texts that are cut together, unless one text has more.
+TOGETHER = 1_000_000
 _END = "</w>"
+_SPACE, _LETTER, _NUMBER, _OTHER, _FOREIGN = range(5)
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each code unit of UTF-16."""
+    kinds, lower = np.full(1 << 16, _FOREIGN, "u1"), np.arange(1 << 16, dtype="<u2")
+    for c in map(chr, range(0x250)):
+        if not re.match(_WHOLE, c):
+            kinds[ord(c)] = next((k for k, of in ((_LETTER, _L), (_NUMBER, _N), (_SPACE, _S)) if re.match(f"[{of}]", c)), _OTHER)
+            lower[ord(c)] = ord(c.lower())
+    return kinds, lower
+
+
+_KIND, _LOWER = _tables()
+
+
+def cut(units: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased code units that are no white space, and where in them and in
+    units each piece starts: where the class changes, at each number, and around
+    'S 'T 'M 'D 'RE 'VE 'LL behind anything but a run of other characters."""
+    low, solid = _LOWER[units], kinds != _SPACE
+    first = solid.copy()
+    first[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == _NUMBER)
+    at = np.flatnonzero((low == ord("'")) & first)
+    if len(at):
+        padded = np.concatenate([low, np.zeros(2, low.dtype)])
+        one, two = padded[at + 1], padded[at + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l")))
+        first[at[short | long] + 1] = False
+        behind = np.concatenate([at[short] + 2, at[long] + 3])
+        behind = behind[behind < len(first)]
+        first[behind] = solid[behind]
+    return low[solid], np.flatnonzero(first[solid]), np.flatnonzero(first)
+
+
+def different(low: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The pieces that occur in low, which start at at, each once, and which of them
+    stands at each place."""
+    offsets = np.append(at, len(low)) * 2
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+    n, once = len(found.dictionary), found.dictionary.buffers()
+    if not n:
+        return [], np.zeros(0, np.int32)
+    ends = np.frombuffer(once[1], np.int64, n + 1)[1:] // 2
+    spaced = np.insert(np.frombuffer(once[2], "<u2", ends[-1]), ends[:-1], ord("\n"))
+    return spaced.tobytes().decode("utf-16-le").split("\n"), found.indices.to_numpy()
+
+
 def splits_by_piece(definition: dict) -> bool:
     """Whether a tokenizer's own definition is the one that allows pieces to be
     encoded each for itself."""
     model = definition.get("model") or {}
-    return all(definition.get(k) == v for k, v in KNOWN.items()) and not definition.get("post_processor") and not definition.get("truncation") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == _END and not model.get("dropout") and all(t["content"].startswith("<|") for t in definition.get("added_tokens") or ())
+    return all(definition.get(k) == v for k, v in KNOWN.items()) and not definition.get("post_processor") and not definition.get("truncation") and not definition.get("padding") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == _END and not model.get("dropout") and all(t["content"].startswith("<|") for t in definition.get("added_tokens") or ())
 
 
 class Encoder:
     """Texts to ids as little-endian 32-bit integers.
 
-    By piece: lower-cased texts are cut into the tokenizer's own pieces, new ones
-    are encoded together, and each is remembered."""
+    By piece: texts are cut together into the tokenizer's own pieces, each that
+    occurs is looked up once, new ones are encoded by the tokenizer's model and
+    remembered, and the ids are dealt out to where the pieces stand."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = splits_by_piece(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(_END) for i in range(size)])
+        self.model = self.tokenizer.model
+        # Lower-cased characters as the pre-tokenizer hands them to the model.
+        plain = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
+        self.bytewise = {c: plain.pre_tokenize_str(chr(c))[0][0] for c in {*range(0x250), *_LOWER[:0x250].tolist()}}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<i4")
-            # Each piece ends with a token that says so.
-            cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            if len(cut) == len(part) + 1 and cut[-1] == len(ids):
-                out.update(zip(part, (ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)), strict=True))
-            else:
-                out.update((p, self.whole(p)) for p in part)
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        ids = [[t.id for t in self.model.tokenize(p.translate(self.bytewise))] for p in pieces]
+        flat, ends = np.fromiter(chain.from_iterable(ids), dtype="<i4").tobytes(), list(accumulate(map(len, ids), initial=0))
+        return [flat[4 * i : 4 * j] for i, j in pairwise(ends)]
+
+    def recall(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces.  What is remembered has two ages: when the young
+        table is full it becomes the old one, and of the old one only what is wanted
+        again comes over; so pieces that return stay."""
+        out = list(map(self.known.get, pieces))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        wanted = [pieces[i] for i in missing]
+        again = list(map(self.old.get, wanted))
+        new = iter(self.learn([p for p, ids in zip(wanted, again, strict=True) if ids is None]))
+        found = [next(new) if ids is None else ids for ids in again]
+        for i, ids in zip(missing, found, strict=True):
+            out[i] = ids
+        if len(self.known) + len(found) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        self.known.update(islice(zip(wanted, found, strict=True), REMEMBERED))
         return out
 
-    def recall(self, wanted: list[list[str]]) -> dict[str, bytes]:
-        """A table that holds all pieces of some texts.  What is remembered has two ages:
-        when the young table is full it becomes the old one, and of the old one only
-        what is wanted again comes over; so pieces that return stay."""
-        missing = set(filterfalse(self.known.__contains__, chain.from_iterable(wanted)))
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.old, self.known = self.known, {}
-            missing = set(chain.from_iterable(wanted))
-        again = {p: self.old[p] for p in missing if p in self.old}
-        new = again | self.learn([p for p in missing if p not in again])
-        if len(self.known) + len(new) > REMEMBERED:
-            return new  # more than one table holds: for this group only
-        self.known.update(new)
-        return self.known
+    def together(self, texts: list[str]) -> list[bytes]:
+        units = np.frombuffer(b"\n\0".join([*(coded := [t.encode("utf-16-le") for t in texts]), b""]), dtype="<u2")
+        starts = np.cumsum([0] + [len(x) // 2 + 1 for x in coded])
+        kinds = _KIND[units]
+        foreign = np.searchsorted(starts, np.flatnonzero(kinds == _FOREIGN), "right") - 1
+        whole = {*np.unique(foreign).tolist(), *(i for i, t in enumerate(texts) if "<|" in t)}
+        for i in whole:
+            kinds[starts[i] : starts[i + 1]] = _SPACE
+        low, at, stands = cut(units, kinds)
+        pieces, which = different(low, at)
+        ids = self.recall(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = sizes[which]
+        ends = np.cumsum(n)
+        source = np.repeat((np.cumsum(sizes) - sizes)[which] - ends + n, n) + np.arange(n.sum())
+        out = np.frombuffer(b"".join(ids), dtype="<i4")[source].tobytes()
+        limits = (np.append(0, ends)[np.searchsorted(stands, starts)] * 4).tolist()
+        return [self.whole(t) if i in whole else out[limits[i] : limits[i + 1]] for i, t in enumerate(texts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [self.whole(t) for t in texts]
-        out = []
-        for at in range(0, len(texts), 8):  # few, so that pieces stay in the processor's cache
-            group = texts[at : at + 8]
-            whole = ["<|" in t if t.isascii() else _WHOLE.search(t) is not None for t in group]
-            cut = [() if w else _PIECE.findall(t.lower()) for t, w in zip(group, whole, strict=True)]
-            get = self.recall(cut).__getitem__
-            out += [self.whole(t) if w else b"".join(map(get, c)) for t, w, c in zip(group, whole, cut, strict=True)]
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and (size := size + len(texts[to])) <= TOGETHER:
+                to += 1
+            out += self.together(texts[at:to])
+            at = to
         return out
 
 

@@ -377,6 +377,61 @@ def test_groups_with_more_pieces_than_are_remembered(monkeypatch, most):
         assert len(own.known) <= most
 
 
+def test_pieces_are_cut_together_and_need_only_the_model():
+    """Texts of every character that is cut, marks and contractions, through the model
+    alone; the tokenizer as a whole is asked for texts of other scripts and marks only."""
+    P = pytest.importorskip("public_tokenizers")
+    own = tokens.Encoder(P.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(29)
+    parts = ["'s", "'S", "'re", "'VE", "'ll", "'lL", "'l", "'", "''", "'d", "'m", "!", "!'t", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "7", "\xb2", "\xd7", "|", "the", "The", "\xc0b", "\u0152", "\u023a", "\u01c5", "\u024f"]
+    texts = ["".join(map(chr, rng.integers(0, 0x250, 60))).replace("\u0130", "") for _ in range(300)]
+    texts += ["".join(rng.choice(parts, 40)) for _ in range(300)]
+    texts += ["".join(map(chr, range(0x130))), "".join(map(chr, range(0x131, 0x250))), "", "'", "x'", "'r", "'re", "''re's", "a" * 5000, "don't" * 1000]
+    texts = [x for x in texts if "<|" not in x]
+    other = ["\u0130x", "a <|endoftext|> b", "\U0001f600 'll", "e\u0301 'll", "\u65e5"]
+    mixed = [y for i, x in enumerate(texts) for y in (x, other[i % len(other)])]
+    want = [own.whole(x) for x in texts]
+    odd = {x: own.whole(x) for x in other}
+    asked, own.whole = [], lambda x: asked.append(x) or odd[x]
+    own.tokenizer = None
+    assert own.encode(texts) == want and not asked
+    assert own.encode(mixed) == [y for i, x in enumerate(want) for y in (x, odd[other[i % len(other)]])]
+    assert asked == mixed[1::2] and own.encode([]) == []
+
+
+def test_a_tokenizer_that_pads_is_not_cut(tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.enable_padding(length=9)
+    t.save(str(tmp_path / "padded.json"))
+    own = tokens.Encoder(str(tmp_path / "padded.json"))
+    assert own.encode(["the cat"]) == [np.array(t.encode("the cat", add_special_tokens=False).ids, "<i4").tobytes()]
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_texts_beyond_what_is_cut_together(monkeypatch, most):
+    P = pytest.importorskip("public_tokenizers")
+    own = tokens.Encoder(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(tokens, "TOGETHER", most)
+    texts = ["", "one two", "", "it's " * 30, "x", "\u65e5", ""]
+    assert own.encode(texts) == [own.whole(x) for x in texts]
+
+
+def test_a_piece_is_learned_and_looked_up_once_a_group(monkeypatch):
+    """However often it stands there."""
+    P = pytest.importorskip("public_tokenizers")
+    own, seen, learned = tokens.Encoder(P.path("word_bpe_49k.json")), [], []
+    recall, learn = own.recall, own.learn
+    monkeypatch.setattr(own, "recall", lambda p: seen.append(p) or recall(p))
+    monkeypatch.setattr(own, "learn", lambda p: learned.extend(p) or learn(p))
+    own.encode(["The cat, the CAT. " * 50] * 20)
+    own.encode(["the dog."])
+    assert list(map(sorted, seen)) == [sorted(["the", "cat", ",", "."]), sorted(["the", "dog", "."])]
+    assert sorted(learned) == sorted(["the", "cat", ",", ".", "dog"])
+
+
 def test_other_tokenizers_are_not_cut(spark, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
