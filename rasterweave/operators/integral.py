@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -53,21 +53,40 @@ def rect_sums(pixels: DataFrame, rects: DataFrame) -> DataFrame:
     return out.select(*rects.columns, "n", "s", "s2", *statistics())
 
 
+def _dyadic(start: Column, stop: Column, top: int) -> Column:
+    """The aligned blocks of 2^level, level at most top, that make up start..stop - 1
+    without overlap: at most two a level, and those of the top level between them."""
+    ends = []
+    for level in range(top):
+        lo, hi = F.shiftright(start + ((1 << level) - 1), level), F.shiftright(stop, level)
+        for odd, at in ((lo, lo), (hi, hi - 1)):
+            ends.append(F.when((lo < hi) & (odd.bitwiseAND(1) == 1), F.struct(F.lit(level).alias("level"), at.cast("int").alias("at"))))
+    lo, hi = F.shiftright(start + ((1 << top) - 1), top), F.shiftright(stop, top)
+    whole = F.transform(F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>")), lambda at: F.struct(F.lit(top).alias("level"), at.cast("int").alias("at")))
+    return F.array_compact(F.concat(F.array(*ends), whole)) if ends else whole
+
+
 def rect_extremes(pixels: DataFrame, rects: DataFrame, tile: int = 64) -> DataFrame:
     """lo, hi of each rectangle (img, rect, x, y, w, h) cut to its image; zeros where
-    nothing is left.  Rectangles are cut along tiles of the image; a tile that a
-    rectangle covers whole gives its own extremes, other tiles their pixels, so
-    that neither side is broadcast and no join is unbounded."""
-    span = lambda at, n: F.sequence(F.floor(F.col(at) / tile).cast("int"), F.floor((F.col(at) + F.col(n) - 1) / tile).cast("int"))
-    parts = rects.filter("w > 0 AND h > 0").withColumn("tx", F.explode(span("x", "w"))).withColumn("ty", F.explode(span("y", "h")))
-    inner = (F.col("x") <= F.col("tx") * tile) & (F.col("y") <= F.col("ty") * tile) & (F.col("x") + F.col("w") >= (F.col("tx") + 1) * tile) & (F.col("y") + F.col("h") >= (F.col("ty") + 1) * tile)
-    parts = parts.withColumn("inner", inner)
-    px = pixels.select("img", F.col("x").alias("px"), F.col("y").alias("py"), "v", F.floor(F.col("x") / tile).cast("int").alias("tx"), F.floor(F.col("y") / tile).cast("int").alias("ty"))
-    whole = px.groupBy("img", "tx", "ty").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    tiles = parts.filter("inner").join(whole, ["img", "tx", "ty"]).select("img", "rect", "lo", "hi")
-    edge = parts.filter("NOT inner").join(px, ["img", "tx", "ty"]).filter("px >= x AND px < x + w AND py >= y AND py < y + h").select("img", "rect", F.col("v").alias("lo"), F.col("v").alias("hi"))
-    ends = tiles.union(edge).groupBy("img", "rect").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return rects.join(ends, ["img", "rect"], "left").na.fill(0, ["lo", "hi"]).select(*rects.columns, "lo", "hi")
+    nothing is left.  Each different rectangle is cut along both axes into aligned
+    blocks whose sides are powers of two, up to the tile (itself rounded up to one),
+    and each block is one look-up: some ten of them for a small rectangle.  All sizes
+    of blocks together are less than four rows a pixel; only tiles that a rectangle
+    touches are made into blocks."""
+    top = (tile - 1).bit_length()
+    frame = pixels.groupBy("img").agg(*[f(c).cast("long").alias(f"__{n}{c}") for c in ("x", "y") for f, n in ((F.min, "from_"), (F.max, "to_"))])
+    shape = ["img", "x", "y", "w", "h"]
+    cuts = rects.filter("w > 0 AND h > 0 AND x IS NOT NULL AND y IS NOT NULL").select(*shape).distinct().join(frame, "img")
+    span = lambda c, n: _dyadic(F.greatest(F.col(c).cast("long"), F.col(f"__from_{c}")), F.least(F.col(c).cast("long") + F.col(n), F.col(f"__to_{c}") + 1), top)
+    cuts = cuts.select(*shape, F.explode(span("x", "w")).alias("bx"), span("y", "h").alias("by")).withColumn("by", F.explode("by"))
+    place = [F.expr(f"shiftright(b{c}.at, {top} - b{c}.level)").alias(f"t{c}") for c in ("y", "x")]
+    touched = cuts.select("img", *place).distinct()
+    px = pixels.select("img", "y", "x", "v", F.shiftright("y", top).alias("ty"), F.shiftright("x", top).alias("tx")).join(touched, ["img", "ty", "tx"], "left_semi")
+    block = lambda c: F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(c, k).cast("int").alias("at")) for k in range(top + 1)])).alias(f"b{c}")
+    lines = px.select("img", "ty", "tx", "y", block("x"), "v").groupBy("img", "ty", "tx", "y", "bx").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    blocks = lines.select("img", "ty", "tx", "bx", block("y"), "lo", "hi").groupBy("img", "ty", "tx", "bx", "by").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = cuts.join(blocks.drop("ty", "tx"), ["img", "bx", "by"]).groupBy(*shape).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return rects.join(ends, shape, "left").na.fill(0, ["lo", "hi"]).select(*rects.columns, "lo", "hi")
 
 
 def spatial_rollup(df: DataFrame, sizes: tuple[int, ...] = (16, 8, 4)) -> DataFrame:

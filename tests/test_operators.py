@@ -68,6 +68,31 @@ def test_rectangles_outside_are_zero(spark, image):
         assert (ends[2]["lo"], ends[2]["hi"]) == (image[15:, 20:].min(), image[15:, 20:].max())
 
 
+def joined_rows(spark, df):
+    """The rows of df, and the most rows that one of its inner joins gives."""
+    def joins(plan):
+        inner = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() and plan.joinType().toString() == "Inner" else []
+        return inner + [n for i in range(plan.children().size()) for n in joins(plan.children().apply(i))]
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan stays as it is
+    try:
+        rows = df.collect()
+        return rows, max(joins(df._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_extremes_take_few_look_ups_whatever_the_area(spark):
+    image = np.random.default_rng(8).integers(1, 10**6, (130, 140))
+    at = [(i, i % 75 - 3, i * 7 % 66 - 2, 60 + i % 9, 62 + i % 5) for i in range(120)]
+    rects = spark.createDataFrame([("a", *r) for r in at], "img string, rect int, x int, y int, w int, h int")
+    rows, most = joined_rows(spark, integral.rect_extremes(raster(spark, image), rects))
+    cut = {i: image[max(0, y) : y + h, max(0, x) : x + w] for i, x, y, w, h in at}
+    assert {r["rect"]: (r["lo"], r["hi"]) for r in rows} == {i: (c.min(), c.max()) for i, c in cut.items()}
+    assert most <= len(at) * 12 * 12  # two blocks of each of six sizes an axis at most; some 4,000 pixels each
+
+
 def test_normalize_constant_and_range(spark, image):
     assert (grey(point.normalize(raster(spark, np.full((2, 2), 7)))) == 0).all()
     out = grey(point.normalize(raster(spark, image)))
