@@ -93,6 +93,16 @@ def test_extremes_take_few_look_ups_whatever_the_area(spark):
     assert most <= len(at) * 12 * 12  # two blocks of each of six sizes an axis at most; some 4,000 pixels each
 
 
+def test_least_values_of_repeated_rectangles_are_looked_up_once(spark, image):
+    at = [(x, y, 3 + x % 4, 2 + y % 5) for x in (-2, 5, 19) for y in (-1, 6, 16)]
+    rects = lambda times: spark.createDataFrame([("a", i, *at[i % len(at)]) for i in range(times * len(at))], "img string, rect int, x int, y int, w int, h int")
+    few, many = (joined_rows(spark, integral.rect_extremes(raster(spark, image), rects(times)).select("rect", "lo")) for times in (1, 40))
+    cut = [image[max(0, y) : y + h, max(0, x) : x + w] for x, y, w, h in at]
+    assert sorted(r["lo"] for r in few[0]) == sorted(c.min() for c in cut)
+    assert {r["rect"]: r["lo"] for r in many[0]} == {i: cut[i % len(at)].min() for i in range(40 * len(at))}
+    assert many[1] == few[1]  # forty times the rectangles, no more rows of pixels
+
+
 def test_normalize_constant_and_range(spark, image):
     assert (grey(point.normalize(raster(spark, np.full((2, 2), 7)))) == 0).all()
     out = grey(point.normalize(raster(spark, image)))
